@@ -18,8 +18,8 @@ COMMON = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "dans", "qui"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "con", "no"],
 }
-#: The character classes, as what stays of a text when all else is taken out.
-CLASSES = (("lower", "[^a-z]"), ("upper", "[^A-Z]"), ("digit", "[^0-9]"), ("space", "[^ \\t-\\r]"), ("point", "[^.,;:!?'\"()-]"), ("symbol", "[^#*$%&|<>@=+~^/_{}\\[\\]]"))
+#: The character classes, as what is taken out of a text one after the other; the rest is one more class.
+CLASSES = (("lower", "[a-z]+"), ("space", "[ \\t-\\r]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("point", "[.,;:!?'\"()-]+"), ("symbol", "[#*$%&|<>@=+~^/_{}\\[\\]]+"))
 
 #: Parameters: documents with fewer words are not compared, and the largest distances that pass.
 MIN_WORDS = 50
@@ -40,17 +40,16 @@ def repeated_words(words: Column) -> Column:
     """
 
     def marked(s: Column) -> Column:
-        same = lambda i, j: s[i]["h"] == s[j]["h"]
-        last = F.size(s) - 1
-        twice = F.filter(F.sequence(F.lit(0), last), lambda i: ((i > 0) & same(F.greatest(i - 1, F.lit(0)), i)) | ((i < last) & same(F.least(i + 1, last), i)))
-        return F.sort_array(F.transform(twice, lambda i: s[i]["p"]))
+        pairs = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
 
     def covered(p: Column) -> Column:
         return F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("at")), lambda a, x: F.struct((a["n"] + F.least(F.lit(3), x - a["at"])).alias("n"), x.alias("at")), lambda a: a["n"])
 
     def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
-        some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), marked), covered)))
+        two = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))
+        three = F.slice(F.zip_with(two, F.slice(w, F.lit(3), F.size(w)), lambda a, b: F.xxhash64(a, b)), F.lit(1), F.size(w) - 2)
+        some = let(three, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), marked), covered)))
         return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(some)
 
     return let(words, of)
@@ -65,22 +64,35 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     split = base.select("doc_id", "lang", "text", some.alias("words"), lines.alias("lines"))
     common = F.coalesce(*(F.when(F.col("lang") == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()), F.array(*map(F.lit, COMMON["en"])))
-    chars = [F.length(F.regexp_replace("text", drop, "")).cast("long") for _, drop in CLASSES]
-    known = lambda words: F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^\\p{L}]", "")))
-    return split.select(
-        "doc_id",
-        "lang",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.length("text").cast("long").alias("n_chars"),
-        F.array(*chars).alias("chars"),
-        let(known(F.col("words")), lambda w: let(common, lambda c: F.transform(c, lambda x: F.size(F.filter(w, lambda y: y == x)).cast("long")))).alias("common"),
+    lengths = let(F.regexp_replace("text", CLASSES[0][1], ""), lambda x1: let(F.regexp_replace(x1, CLASSES[1][1], ""), lambda x2: _tail(x1, x2)))
+    every = sorted({w for v in COMMON.values() for w in v})
+    hits = F.filter("words", lambda w: w.isin(*every))
+    return (
+        split.select("*", lengths.alias("lengths"), repeated_words(F.col("words")).alias("n_repeat_words"), hits.alias("hits"), common.alias("list"))
+        .select(
+            "doc_id",
+            "lang",
+            F.size("words").cast("long").alias("n_words"),
+            (F.length("text") - (F.col("lengths")[0] - F.col("lengths")[1])).cast("long").alias("word_chars"),
+            (F.col("lengths")[1] - F.col("lengths")[len(CLASSES)]).cast("long").alias("n_symbols"),
+            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+            "n_repeat_words",
+            F.length("text").cast("long").alias("n_chars"),
+            F.array((F.length("text") - F.col("lengths")[0]).cast("long"), *((F.col("lengths")[i] - F.col("lengths")[i + 1]).cast("long") for i in range(len(CLASSES) - 1))).alias("chars"),
+            F.transform("list", lambda x: (F.size("hits") - F.size(F.array_remove("hits", x))).cast("long")).alias("common"),
+        )
     )
 
 
+def _tail(x1: Column, x2: Column) -> Column:
+    """Lengths left after each class, and last what is left of x2 without the counted symbols."""
+    rest, out = x2, [F.length(x1), F.length(x2)]
+    for _, gone in CLASSES[2:]:
+        rest = F.regexp_replace(rest, gone, "")
+        out.append(F.length(rest))
+    return F.array(*out, F.length(F.regexp_replace(x2, "[#*$%&|<>]+", "")))
+
+
 def shares(counts: Column, total: Column) -> Column:
     """The counts and what is left of the total, as shares."""
     rest = F.greatest(total - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
