@@ -9,12 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from weftline.llm.common import shared_dir
+    from weftline.llm.warc import pages_through_warc
+
+    return pages_through_warc(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/weftline-warc-{uuid.uuid4().hex}")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.secret_scan import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.pii import sanitise
 
@@ -28,8 +43,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_warc, op3_secret_scan, op4_mixing, op9_pii, op10_quality_rules)}
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+     m AS (SELECT d, max(page_id) AS top FROM p WHERE b >= 1000 GROUP BY d)
+SELECT p.page_id, CAST(p.b AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN p.page_id < m.top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < m.top THEN m.top END AS refers_to
+FROM p LEFT JOIN m ON p.d = m.d AND p.b >= 1000
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL}
