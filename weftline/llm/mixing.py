@@ -80,7 +80,7 @@ def pivot(p: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def _step(seed: int, depth: int, last: bool) -> Callable[[pa.Table], pa.Table]:
-    """Round one block; the last residual of a source is drawn with its probability."""
+    """Round one block; the last residual of a source goes to the nearer side."""
 
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by([("spot", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("base", "ascending")])
@@ -89,7 +89,7 @@ def _step(seed: int, depth: int, last: bool) -> Callable[[pa.Table], pa.Table]:
         p = pivot(block.column("p").to_numpy(), block.column("size").to_numpy().astype(float), rng)
         if last:
             odd = (p > 0) & (p < 1)
-            p[odd] = rng.random(int(odd.sum())) < p[odd]
+            p[odd] = p[odd] >= 0.5
         parent = pa.array(np.full(len(p), number // FAN, np.int64))
         return block.set_column(block.schema.get_field_index("p"), "p", pa.array(p)).set_column(block.schema.get_field_index("block"), "block", parent)
 
@@ -115,7 +115,7 @@ def mix_sources(
     the rest is rounded by pivot() in blocks of about LEAF documents that are dealt by a hash of the
     id, so that a source with a third of all rows spreads over many tasks. Each block leaves one
     fractional document at most; FAN blocks' residuals meet in the next level, and the last one of a
-    source is drawn. Words taken miss the target by less than one document. Decisions depend on
+    source goes to the nearer of 0 and 1, so that words taken miss the target by half a document at most. Decisions depend on
     ids, sizes and the seed alone, so reruns agree. A null source is a source of its own (last); null
     texts and texts without words have size 0 and keep the whole part; a null id is hashed like a
     value; rows that repeat an id are rounded as documents of their own; a source without words has

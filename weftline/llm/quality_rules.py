@@ -24,7 +24,7 @@ CLASSES = (("lower", "[a-z]+"), ("space", "[ \\t-\\r]+"), ("upper", "[A-Z]+"), (
 #: Parameters: documents with fewer words are not compared, and the largest distances that pass.
 MIN_WORDS = 50
 MAX_CHARS = 0.22
-MAX_WORDS = 0.55
+MAX_WORDS = 0.3
 
 
 def let(value: Column, body) -> Column:

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import table
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.quality_crf import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -43,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_secret_scan, op4_mixing, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_warc, op3_secret_scan, op4_mixing, op9_pii, op10_quality_rules)}
 
 
 OP2_SQL = """
