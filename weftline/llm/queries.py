@@ -36,6 +36,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.pii import sanitise
 
@@ -49,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_warc, op3_secret_scan, op4_mixing, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_warc, op3_secret_scan, op4_mixing, op6_decontaminate, op9_pii, op10_quality_rules)}
 
 
 OP2_SQL = """
