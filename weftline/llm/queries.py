@@ -42,6 +42,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.pii import sanitise
 
@@ -55,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_warc, op3_secret_scan, op4_mixing, op6_decontaminate, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_warc, op3_secret_scan, op4_mixing, op6_decontaminate, op8_jaccard_join, op9_pii, op10_quality_rules)}
 
 
 OP2_SQL = """
