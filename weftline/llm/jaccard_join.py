@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import bloom
 from weftline.llm.common import LOWER_VALUES, Rolling, mix, signed, slices, text_bytes, word_bounds, written
 from weftline.llm.components import components
 
-#: Counters of the frequency sketch (512 KB), in parts; the bits of the candidate filter (8 MB at most); prefix lengths tried.
+#: Counters of the frequency sketch (1 MB), in parts; the most shared tokens that a prefix may ask for.
 SKETCH_BITS, PART = 17, 4096
-MAX_FILTER_BITS = 1 << 26
 MAX_MATCHES = 4
 
 ROLL = Rolling(0xC2B2AE3D27D4EB4F, LOWER_VALUES)
@@ -196,44 +196,18 @@ def _possible(n1: Column, p1: Column, n2: Column, p2: Column, a: int, b: int) ->
 
 
 def sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(sid, items) of the wanted sids and some more, each once.
+    """(sid, items) of the wanted sids, each once.
 
-    The texts are read again and filtered by a Bloom filter of the wanted sids, at most 8 MB: more
-    sids than it suits only let more sets through.
+    The texts are read again, rather than shuffled, and filtered by a bounded Bloom filter of the
+    wanted sids.
     """
-    n = wanted.count()
-    bits = min(MAX_FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
-
-    def places(sid: np.ndarray) -> list[np.ndarray]:
-        return [mix(sid.view(np.uint64) + np.uint64(i * int(GOLD) % (1 << 64))) & np.uint64(bits - 1) for i in (1, 2, 3)]
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
-        for batch in batches:
-            for p in places(batch.column(0).to_numpy()):
-                own[p] = True
-        packed = np.packbits(own, bitorder="little")
-        size = min(PART, len(packed))
-        some = [i for i in range(len(packed) // size) if packed[i * size : (i + 1) * size].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i * size : (i + 1) * size].tobytes() for i in some], pa.binary())], ["part", "bits"])
-
-    def either(t: pa.Table) -> pa.Table:
-        all_ = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
-        return pa.table({"part": t.column("part")[:1], "bits": pa.array([all_.tobytes()], pa.binary())})
-
-    packed = np.zeros(bits // 8, np.uint8)
-    size = min(PART, len(packed))
-    for r in wanted.select("sid").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(either, "part int, bits binary").toLocalIterator():
-        packed[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("sid")))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt, seen = shared.value, set()
         for part in parts:
             h, edge, sids = shingle_sets(*text_bytes(part.column(1)), k)
-            ok = np.diff(edge) > 0
-            for p in places(sids):
-                ok &= (filt[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            ok = (np.diff(edge) > 0) & bloom.holds(filt, sids)
             rows = [r for r in np.flatnonzero(ok).tolist() if int(sids[r]) not in seen]
             rows = list({int(sids[r]): r for r in rows}.values())
             seen.update(int(sids[r]) for r in rows)

@@ -36,6 +36,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.decontaminate import leaks
 
@@ -61,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_warc, op3_secret_scan, op4_mixing, op6_decontaminate, op8_jaccard_join, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_warc, op3_secret_scan, op4_mixing, op5_suffix_dedup, op6_decontaminate, op8_jaccard_join, op9_pii, op10_quality_rules)}
 
 
 OP2_SQL = """
