@@ -220,9 +220,10 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: counts, the hash of the base spans, all spans and the sanitised text.
 
+    The columns in ``carry`` come along in a struct ``row`` (only if there are any).
     Protected entities become <EMAIL>, <IP>, <CARD> and <PHONE>; terms that reveal one (see
     disclosing_terms, or ``terms``) are generalised or removed. A null text is empty (its sanitised
     text stays null), a null id stays null, repeated rows give repeated results, other columns are
@@ -230,7 +231,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     """
     base = docs.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
     terms = disclosing_terms(base) if terms is None else terms
-    spark, df = docs.sparkSession, base.withColumn("marks", F.lit(None).cast("string"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
+    spark = docs.sparkSession
+    df = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(None).cast("string").alias("marks"), *row)
+    tail = f", row {df.schema['row'].dataType.simpleString()}" if carry else ""
     parts = list(blocks(terms)) or [np.zeros(0, np.int64)]
     for i, block in enumerate(parts):
         shared = spark.sparkContext.broadcast(block)
@@ -241,7 +245,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
                 for part in slices(batch, 1):
                     yield (_result if last else _marked)(part, shared.value)
 
-        df = df.mapInArrow(run, SCHEMA if last else "doc_id long, text string, marks string")
+        df = df.mapInArrow(run, (SCHEMA if last else "doc_id long, text string, marks string") + tail)
     return df
 
 
@@ -262,7 +266,7 @@ def _hits(part: pa.RecordBatch, block: np.ndarray) -> tuple[bytes, list[int], li
 def _marked(part: pa.RecordBatch, block: np.ndarray) -> pa.RecordBatch:
     _, _, found = _hits(part, block)
     marks = pa.array([",".join(f"{s}:{e}" for s, e in f) or None for f in found], pa.string())
-    return pa.RecordBatch.from_arrays([part.column(0), part.column(1), marks], ["doc_id", "text", "marks"])
+    return pa.RecordBatch.from_arrays([part.column(0), part.column(1), marks, *part.columns[3:]], ["doc_id", "text", "marks", *part.schema.names[3:]])
 
 
 def _result(part: pa.RecordBatch, block: np.ndarray) -> pa.RecordBatch:
@@ -288,6 +292,6 @@ def _result(part: pa.RecordBatch, block: np.ndarray) -> pa.RecordBatch:
                     at = e
             clean[i] = "".join([*out, text[at:]])
     return pa.RecordBatch.from_arrays(
-        [part.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts[:4]), pa.array(digest), pa.array(spans), pa.array(counts[4], pa.int64()), pa.array(clean, pa.string())],
-        ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "clean"],
+        [part.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts[:4]), pa.array(digest), pa.array(spans), pa.array(counts[4], pa.int64()), pa.array(clean, pa.string()), *part.columns[3:]],
+        ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "clean", *part.schema.names[3:]],
     )

@@ -55,14 +55,16 @@ def repeated_words(words: Column) -> Column:
     return let(words, of)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
     """The counts of every document, its histograms (arrays of long) and its language, unknown ones as 'other'."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     langs = F.when(F.col(lang_col).isin(*COMMON), F.col(lang_col)).otherwise("other")
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), langs.alias("lang"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), langs.alias("lang"), *row)
     some = F.filter(F.split("text", SPACE), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    split = base.select("doc_id", "lang", "text", some.alias("words"), lines.alias("lines"))
+    names = ["row"] if carry else []
+    split = base.select("doc_id", "lang", "text", *names, some.alias("words"), lines.alias("lines"))
     common = F.coalesce(*(F.when(F.col("lang") == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()), F.array(*map(F.lit, COMMON["en"])))
     lengths = let(F.regexp_replace("text", CLASSES[0][1], ""), lambda x1: let(F.regexp_replace(x1, CLASSES[1][1], ""), lambda x2: _tail(x1, x2)))
     every = sorted({w for v in COMMON.values() for w in v})
@@ -80,6 +82,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             F.length("text").cast("long").alias("n_chars"),
             F.array((F.length("text") - F.col("lengths")[0]).cast("long"), *((F.col("lengths")[i] - F.col("lengths")[i + 1]).cast("long") for i in range(len(CLASSES) - 1))).alias("chars"),
             F.transform("list", lambda x: (F.size("hits") - F.size(F.array_remove("hits", x))).cast("long")).alias("common"),
+            *names,
         )
     )
 
@@ -122,16 +125,17 @@ def references(feats: DataFrame) -> DataFrame:
     return pooled.select("lang", shares(F.col("chars"), F.col("n_chars")).alias("ref_chars"), shares(F.col("common"), F.col("n_words")).alias("ref_words"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None, carry: bool = False) -> DataFrame:
     """One row for each row of docs: counts, distances to the language's reference, and the verdict ``kept``.
 
+    With ``carry`` the row itself comes along in a struct ``row``.
     A null text is empty, has no words and fails. Null and unknown languages share the reference
     'other'. A distance is null, and never rejects, below MIN_WORDS words or where there is no
     reference (no document of the language passes the counting rules). Repeated rows give repeated
     results; other columns are ignored. The references have five rows at most, one for each key of
     COMMON and 'other', so broadcasting them is safe at any size.
     """
-    feats = written(features(docs, id_col, text_col, lang_col), "features")
+    feats = written(features(docs, id_col, text_col, lang_col, carry), "features")
     refs = references(feats) if refs is None else refs
     both = feats.join(F.broadcast(refs), "lang", "left")
     enough = F.col("n_words") >= MIN_WORDS
@@ -140,6 +144,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         base_failed().alias("base_failed"),
         F.when(enough, js_distance(shares(F.col("chars"), F.col("n_chars")), F.col("ref_chars"))).alias("js_chars"),
         F.when(enough, js_distance(shares(F.col("common"), F.col("n_words")), F.col("ref_words"))).alias("js_words"),
+        *(["row"] if carry else []),
     )
     passes = (F.coalesce("js_chars", F.lit(0.0)) <= MAX_CHARS) & (F.coalesce("js_words", F.lit(0.0)) <= MAX_WORDS)
     return out.withColumn("kept", ~F.col("base_failed") & passes)
