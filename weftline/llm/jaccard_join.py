@@ -13,8 +13,10 @@ from weftline.llm import bloom
 from weftline.llm.common import LOWER_VALUES, Rolling, mix, signed, slices, text_bytes, word_bounds, written
 from weftline.llm.components import components
 
-#: Counters of the frequency sketch (1 MB), in parts; the most shared tokens that a prefix may ask for.
-SKETCH_BITS, PART = 17, 4096
+#: Counters of the frequency sketch (32 MB on the driver, 4 MB of classes in a task), in parts; shingles counted at a time;
+#: the most shared tokens that a prefix may ask for.
+SKETCH_BITS, PART = 22, 1 << 16
+AT_ONCE = 1 << 22
 MAX_MATCHES = 4
 
 ROLL = Rolling(0xC2B2AE3D27D4EB4F, LOWER_VALUES)
@@ -62,23 +64,33 @@ def _parts(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def _added(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.uint64) for x in table.column("counts").to_pylist()], axis=0, dtype=np.uint64)
+    total = np.sum([np.frombuffer(x, np.uint16).astype(np.uint64) for x in table.column("counts").to_pylist()], axis=0, dtype=np.uint64)
     return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def members_and_counts(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid) of every row, and a sketch: how many shingles of all sets fall to each of 2**SKETCH_BITS counters."""
+    """(doc_id, n, sid) of every row, and a sketch: how many shingles of all sets fall to each of 2**SKETCH_BITS counters.
+
+    A task's counters stop at 65,535 each; the sketch only orders tokens, and any order is exact.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint64)
+        counts, held, n_held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         for part in parts:
             h, edge, sids = shingle_sets(*text_bytes(part.column(1)), k)
-            counts += np.bincount(h >> np.uint64(64 - SKETCH_BITS), minlength=len(counts)).astype(np.uint64)
+            held.append((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+            n_held += len(h)
+            if n_held > AT_ONCE:
+                counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+                held, n_held = [], 0
             none = pa.nulls(part.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edge)), pa.array(signed(sids)), none, pa.nulls(part.num_rows, pa.binary())], ["doc_id", "n", "sid", "part", "counts"])
-        some = [i for i in range(len(counts) // PART) if counts[i * PART : (i + 1) * PART].any()]
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+        small = np.minimum(counts, 65535).astype(np.uint16)
+        some = [i for i in range(len(small) // PART) if small[i * PART : (i + 1) * PART].any()]
         m = len(some)
-        data = pa.array([counts[i * PART : (i + 1) * PART].tobytes() for i in some], pa.binary())
+        data = pa.array([small[i * PART : (i + 1) * PART].tobytes() for i in some], pa.binary())
         yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.array(some, pa.int32()), data], ["doc_id", "n", "sid", "part", "counts"])
 
     both = written(_parts(docs, run, "doc_id long, n long, sid long, part int, counts binary"), "members")
@@ -195,28 +207,36 @@ def _possible(n1: Column, p1: Column, n2: Column, p2: Column, a: int, b: int) ->
     return (b * F.least(n1, n2) >= a * F.greatest(n1, n2)) & ((a + b) * room >= a * (n1 + n2))
 
 
-def sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(sid, items) of the wanted sids, each once.
+def _one(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(sid.view(np.uint64) ^ mix(doc.view(np.uint64)))
+
+
+def sets_of(docs: DataFrame, k: int, wanted: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, items) of the wanted sids, from the document with the least id of each; few come twice.
 
     The texts are read again, rather than shuffled, and filtered by a bounded Bloom filter of the
-    wanted sids.
+    wanted (sid, doc_id).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("sid")))
+    least = members.join(wanted.distinct(), "sid").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(signed(_one(batch.column(0).to_numpy(), batch.column(1).to_numpy())))], ["key"])
+
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(written(least.mapInArrow(keys, "key long"), "keys")))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt, seen = shared.value, set()
+        filt = shared.value
         for part in parts:
             h, edge, sids = shingle_sets(*text_bytes(part.column(1)), k)
-            ok = (np.diff(edge) > 0) & bloom.holds(filt, sids)
-            rows = [r for r in np.flatnonzero(ok).tolist() if int(sids[r]) not in seen]
-            rows = list({int(sids[r]): r for r in rows}.values())
-            seen.update(int(sids[r]) for r in rows)
-            if rows:
+            ids = part.column(0).fill_null(0).to_numpy()
+            rows = np.flatnonzero((np.diff(edge) > 0) & bloom.holds(filt, _one(sids, ids)))
+            if len(rows):
                 flat = np.concatenate([h[edge[r] : edge[r + 1]] for r in rows])
                 ends = np.concatenate([[0], np.cumsum([edge[r + 1] - edge[r] for r in rows])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(sids[rows])), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))], ["sid", "items"])
 
-    return _parts(docs, run, "sid long, items array<long>").join(wanted.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+    return _parts(docs, run, "sid long, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
@@ -224,7 +244,7 @@ def verified(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
     x = sets.select(F.col("sid").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return both.where((a + b) * F.col("i") >= a * F.col("s")).select("a", "b")
+    return both.where((a + b) * F.col("i") >= a * F.col("s")).select("a", "b").distinct()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -249,11 +269,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(lists(entries(base, k, sketch, a, b)), "lists")
     possible = lambda p, q: _possible(F.col(f"{p}n"), F.col(f"{p}pos"), F.col(f"{q}n"), F.col(f"{q}pos"), a, b)
 
-    star = found.where((F.col("sid") != F.col("hub_sid")) & possible("", "hub_")).groupBy("sid", "hub_sid").agg(F.count("*").alias("shared"))
+    star = found.where((F.col("sid") != F.col("hub_sid")) & possible("", "hub_")).groupBy("sid", "hub_sid").agg(F.count("*").alias("shared"), F.first(F.least("matches", "hub_matches")).alias("asked"))
+    star = star.where("shared >= asked")
     star = star.groupBy("sid").agg(F.max_by("hub_sid", F.struct("shared", "hub_sid")).alias("hub"))
     star = written(star.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), "star")
-    sets = written(sets_of(base, k, found.select("sid").distinct()), "sets")
-    links = written(verified(star, sets, a, b), "links")
+    near = written(sets_of(base, k, star.select(F.explode(F.array("a", "b")).alias("sid")), members), "sets")
+    links = written(verified(star, near, a, b), "links")
     comp = components(links)
 
     placed = found.select("token", "sid", "n", "pos", "matches").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -264,7 +285,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & possible("x.", "y."))
     cross = cross.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("x.matches", "y.matches")).alias("asked"))
     cross = cross.where("shared >= asked").join(star, ["a", "b"], "left_anti")
-    more = written(verified(written(cross.select("a", "b"), "cross"), sets, a, b), "links")
+    cross = written(cross.select("a", "b"), "cross")
+    sets = near if cross.isEmpty() else written(sets_of(base, k, cross.select(F.explode(F.array("a", "b")).alias("sid")), members), "sets")
+    more = written(verified(cross, sets, a, b), "links")
     # links of the second kind join components; those of the first kind stay
     whole = components(links.unionByName(more))
 
