@@ -6,18 +6,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom
 from weftline.llm.common import LOWER_VALUES, Rolling, mix, signed, slices, text_bytes, word_bounds, written
 from weftline.llm.components import components
 
-#: Counters of the frequency sketch (32 MB on the driver, 4 MB of classes in a task), in parts; shingles counted at a time;
-#: the most shared tokens that a prefix may ask for.
-SKETCH_BITS, PART = 22, 1 << 16
+#: Counters of the frequency sketch (64 MB on the driver, 8 MB of classes in a task), in parts; the lowest hashes, which alone
+#: reach prefixes as a rule, are counted; shingles counted at a time; the most shared tokens that a prefix may ask for; partners
+#: that a token below the sketch's noise is taken to have.
+SKETCH_BITS, PART = 23, 1 << 17
+COUNTED = np.uint64(int(0.4 * 2**64))
 AT_ONCE = 1 << 22
-MAX_MATCHES = 4
+MAX_MATCHES = 6
+UNSEEN = 0.25
+#: Members of a list that is long, and hubs of a long list.
+LONG, HUBS = 16, 4
 
 ROLL = Rolling(0xC2B2AE3D27D4EB4F, LOWER_VALUES)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -64,22 +69,22 @@ def _parts(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 
 def _added(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.uint16).astype(np.uint64) for x in table.column("counts").to_pylist()], axis=0, dtype=np.uint64)
+    total = np.sum([np.frombuffer(x, np.uint8).astype(np.uint64) for x in table.column("counts").to_pylist()], axis=0, dtype=np.uint64)
     return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def members_and_counts(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid) of every row, and a sketch: how many shingles of all sets fall to each of 2**SKETCH_BITS counters.
+    """(doc_id, n, sid) of every row, and a sketch: how many shingles below COUNTED fall to each of 2**SKETCH_BITS counters.
 
-    A task's counters stop at 65,535 each; the sketch only orders tokens, and any order is exact.
+    A task's counters stop at 255 each; the sketch only orders tokens, and any order is exact.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n_held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         for part in parts:
             h, edge, sids = shingle_sets(*text_bytes(part.column(1)), k)
-            held.append((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-            n_held += len(h)
+            held.append(_counter(h[h < COUNTED]))
+            n_held += len(held[-1])
             if n_held > AT_ONCE:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
                 held, n_held = [], 0
@@ -87,7 +92,7 @@ def members_and_counts(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edge)), pa.array(signed(sids)), none, pa.nulls(part.num_rows, pa.binary())], ["doc_id", "n", "sid", "part", "counts"])
         if held:
             counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
-        small = np.minimum(counts, 65535).astype(np.uint16)
+        small = np.minimum(counts, 255).astype(np.uint8)
         some = [i for i in range(len(small) // PART) if small[i * PART : (i + 1) * PART].any()]
         m = len(some)
         data = pa.array([small[i * PART : (i + 1) * PART].tobytes() for i in some], pa.binary())
@@ -100,6 +105,10 @@ def members_and_counts(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     return both.where("part is null").select("doc_id", "n", "sid"), sketch
 
 
+def _counter(h: np.ndarray) -> np.ndarray:
+    return ((h * GOLD) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
+
+
 def levels(sketch: np.ndarray) -> np.ndarray:
     """Frequency class of each counter: 0 for what chance explains, then one more for each doubling above it."""
     mean = sketch.mean()
@@ -116,13 +125,13 @@ def prefix(h: np.ndarray, level: np.ndarray, a: int, b: int) -> tuple[np.ndarray
     """
     n = len(h)
     least = -(-a * n // b)
-    own = level[h >> np.uint64(64 - SKETCH_BITS)]
+    own = np.where(h < COUNTED, level[_counter(h)], 0)
     if own.any():
         order = np.argsort(own, kind="stable")
         h, own = h[order], own[order]
     base = n - least
     most = min(MAX_MATCHES, least)
-    read = np.cumsum(np.exp2(own[: base + most].astype(float)) - 1)
+    read = np.cumsum(np.exp2(own[: base + most].astype(float)) - 1 + UNSEEN)
     cost = [read[base + m - 1] + base + m + read[base + m - 1] / 4 ** (m - 1) * n / 16 for m in range(1, most + 1)]
     m = int(np.argmin(cost)) + 1
     return h[: base + m], m
@@ -163,14 +172,14 @@ def entries(docs: DataFrame, k: int, sketch: np.ndarray, a: int, b: int) -> Data
 
 
 def lists(found: DataFrame) -> DataFrame:
-    """Entries of the tokens that two or more sets have, each with the token's hub: its first entry by position, then sid.
+    """Entries of the tokens that two or more sets have, each (token, sid) once.
 
     Spark deals and sorts the entries; the scan over a sorted partition keeps one row at a time.
     """
     names = ["token", "sid", "n", "pos", "matches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, told, last = None, False, None
+        first, told, last = None, False, None
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], 1)
             if not len(rows):
@@ -178,33 +187,37 @@ def lists(found: DataFrame) -> DataFrame:
             before = np.concatenate([last[None, :2] if last is not None else rows[:1, :2] + 1, rows[:-1, :2]])
             last = rows[-1]
             rows = rows[(rows[:, 0] != before[:, 0]) | (rows[:, 1] != before[:, 1])]
-            if hub is not None:
-                rows = np.concatenate([hub[None], rows])
+            if first is not None:
+                rows = np.concatenate([first[None], rows])
             if not len(rows):
                 continue
-            new = np.ones(len(rows), bool)
-            new[1:] = rows[1:, 0] != rows[:-1, 0]
-            group = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
+            group = np.concatenate([[0], np.cumsum(rows[1:, 0] != rows[:-1, 0])])
             many = (np.bincount(group) > 1)[group]
             out = many.copy()
-            if hub is not None and told:
-                out[0] = False
-            was = hub is not None and told and group[-1] == 0
-            hub, told = rows[first[-1]], bool(many[-1]) or was
-            own, head = rows[out], rows[first[group[out]]]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(own[:, i].astype(np.int64 if i < 2 else np.int32)) for i in range(5)), *(pa.array(head[:, i].astype(np.int64 if i < 2 else np.int32)) for i in range(1, 5))],
-                [*names, *(f"hub_{x}" for x in names[1:])],
-            )
+            out[0] &= not told
+            told = bool(many[-1]) or (told and group[-1] == 0)
+            first = rows[np.searchsorted(group, group[-1])]
+            own = rows[out]
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, i].astype(np.int64 if i < 2 else np.int32)) for i in range(5)], names)
+
+    return found.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, _ENTRY)
+
+
+def _prefix_length(x: str, a: int, b: int) -> Column:
+    return F.col(f"{x}n") - F.ceil(F.col(f"{x}n") * a / b) + F.col(f"{x}matches")
 
-    return found.repartition("token").sortWithinPartitions("token", "pos", "sid").mapInArrow(run, _ENTRY + ", hub_sid long, hub_n int, hub_pos int, hub_matches int")
 
+def _possible(x: str, y: str, a: int, b: int) -> Column:
+    """Whether two entries of a token leave room for a link between their sets.
 
-def _possible(n1: Column, p1: Column, n2: Column, p2: Column, a: int, b: int) -> Column:
-    """Sizes and the places of a shared token that leave room for a link: 100 * |x & y| >= 85 * |x or y| and the like."""
+    By the sizes; by the token's places; and by ``listed``, how many tokens of a set's prefix any
+    other prefix has: the prefix that ends first in the common order is met by at most that many
+    tokens, and the rest of its set adds at most its length.
+    """
+    n1, n2, p1, p2 = (F.col(f"{k}{c}") for c in ("n", "pos") for k in (x, y))
     room = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return (b * F.least(n1, n2) >= a * F.greatest(n1, n2)) & ((a + b) * room >= a * (n1 + n2))
+    met = F.least(f"{x}listed", f"{y}listed") + F.greatest(n1 - _prefix_length(x, a, b), n2 - _prefix_length(y, a, b))
+    return (b * F.least(n1, n2) >= a * F.greatest(n1, n2)) & ((a + b) * room >= a * (n1 + n2)) & ((a + b) * met >= a * (n1 + n2))
 
 
 def _one(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -247,15 +260,34 @@ def verified(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
     return both.where((a + b) * F.col("i") >= a * F.col("s")).select("a", "b").distinct()
 
 
+def hub_pairs(found: DataFrame, a: int, b: int) -> DataFrame:
+    """(a, b): pairs of members of long lists with the HUBS most central members of each.
+
+    A member is central when most of its prefix stands in lists; equally central ones are drawn by a
+    hash, the same in every list, so that near copies meet the same hubs. A pair counts if it shares
+    as many tokens, in lists with this hub, as the smaller of the two demands. These pairs join large
+    groups with tests in proportion to the members; no other step relies on them.
+    """
+    big = found.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") >= LONG).select("token")
+    rows = found.join(big, "token", "left_semi").withColumn("central", F.floor(8 * F.col("listed") / _prefix_length("", a, b)))
+    rows = written(rows, "long")
+    one = F.struct("sid", "n", "pos", "matches", "listed")
+    hubs = rows.groupBy("token").agg(F.array_distinct(F.array(*(F.max_by(one, F.struct("central", F.xxhash64("sid", F.lit(i)))) for i in range(HUBS)))).alias("hubs"))
+    met = rows.join(hubs, "token").withColumn("h", F.explode("hubs")).where((F.col("sid") != F.col("h.sid")) & _possible("", "h.", a, b))
+    met = met.groupBy("sid", F.col("h.sid").alias("hub")).agg(F.count("*").alias("shared"), F.first(F.least("matches", "h.matches")).alias("asked")).where("shared >= asked")
+    best = met.withColumn("r", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("shared"), "hub"))).where(F.col("r") <= HUBS)
+    return best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
     Documents link when the Jaccard similarity of their sets of k-word shingles is at least
     percent/100; component_id is the smallest doc_id that links reach. Equal sets are one vertex.
-    The rest is found through prefixes (see prefix()): every token's list first links its members
-    to its hub, the links are verified on whole sets, and then all pairs of a list whose members are
-    still in different components are counted, kept where they share as many prefix tokens as the
-    smaller of their two demands, and verified. Pairs inside one component need no test, so a group
+    The rest is found through prefixes (see prefix()): the members of long lists are first
+    paired with a few hubs (see hub_pairs()) and verified on whole sets, and then all pairs of a list whose members are
+    still in different components are counted, kept where they share as many prefix tokens as their
+    demands and sizes ask for, and verified. Pairs inside one component need no test, so a group
     of near copies costs about as many tests as members, and no link between components is missed.
     Prefixes of any length are exact; nothing is capped.
 
@@ -267,23 +299,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
     members, sketch = members_and_counts(base, k)
     found = written(lists(entries(base, k, sketch, a, b)), "lists")
-    possible = lambda p, q: _possible(F.col(f"{p}n"), F.col(f"{p}pos"), F.col(f"{q}n"), F.col(f"{q}pos"), a, b)
-
-    star = found.where((F.col("sid") != F.col("hub_sid")) & possible("", "hub_")).groupBy("sid", "hub_sid").agg(F.count("*").alias("shared"), F.first(F.least("matches", "hub_matches")).alias("asked"))
-    star = star.where("shared >= asked")
-    star = star.groupBy("sid").agg(F.max_by("hub_sid", F.struct("shared", "hub_sid")).alias("hub"))
-    star = written(star.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), "star")
+    found = written(found.join(found.groupBy("sid").agg(F.count("*").cast("int").alias("listed")), "sid"), "lists")
+    star = written(hub_pairs(found, a, b), "star")
     near = written(sets_of(base, k, star.select(F.explode(F.array("a", "b")).alias("sid")), members), "sets")
     links = written(verified(star, near, a, b), "links")
     comp = components(links)
 
-    placed = found.select("token", "sid", "n", "pos", "matches").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    placed = found.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     live = placed.join(mixed, "token", "left_semi")
     x, y = live.alias("x"), live.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & possible("x.", "y."))
-    cross = cross.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("x.matches", "y.matches")).alias("asked"))
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _possible("x.", "y.", a, b))
+    short = F.ceil(F.lit(a) * (F.col("x.n") + F.col("y.n")) / (a + b)) - F.greatest(F.col("x.n") - _prefix_length("x.", a, b), F.col("y.n") - _prefix_length("y.", a, b))
+    cross = cross.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first(F.greatest(F.least("x.matches", "y.matches"), short)).alias("asked"))
     cross = cross.where("shared >= asked").join(star, ["a", "b"], "left_anti")
     cross = written(cross.select("a", "b"), "cross")
     sets = near if cross.isEmpty() else written(sets_of(base, k, cross.select(F.explode(F.array("a", "b")).alias("sid")), members), "sets")
