@@ -90,7 +90,7 @@ def read_pdf(files: DataFrame) -> DataFrame:
 
 def html_text(html: Column) -> Column:
     """A page's text: scripts, styles, comments and tags go; block ends become line feeds; five entities are read."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<(script|style)\\b.*?</\\1\\s*>|<!--.*?-->", " ")
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, "(?i)<br\\s*/?>|</(p|div|li|h[1-6]|tr|article|section)\\s*>", "\n")
     out = F.regexp_replace(out, "<[^>]+>", " ")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
