@@ -26,7 +26,7 @@ def spread(total: Column, k: Column) -> Column:
 
 
 def channel(colour: Column, at: int) -> Column:
-    return F.conv(F.substring(F.ltrim(F.lit("#"), colour), 1 + 2 * at, 2), 16, 10).cast("int")
+    return F.conv(F.substring(F.replace(colour, F.lit("#"), F.lit("")), 1 + 2 * at, 2), 16, 10).cast("int")
 
 
 def luminance(colour: Column) -> Column:

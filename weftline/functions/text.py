@@ -267,7 +267,7 @@ def duration_seconds(x: Column) -> Column:
     total = F.lit(0.0)
     for name, factor in unit.items():
         found = F.regexp_extract_all(x, F.lit(f"([0-9]+(?:\\.[0-9]+)?){name}(?![a-z])"), F.lit(1))
-        total = total + F.aggregate(found, F.lit(0.0), lambda a, v, f=factor: a + v.cast("double") * f)
+        total = total + F.aggregate(found, F.lit(0.0), lambda a, v: a + v.cast("double")) * F.lit(factor)
     return F.when(x.rlike("[0-9](?:ms|[hms])(?![a-z])"), total)
 
 

@@ -9,15 +9,20 @@ from weftline.functions import maths
 from weftline.functions import text as t
 from weftline.operators import deck, matching, model_output, normalize, planner
 from weftline.operators.structure import structure
-from weftline.plans.inputs import requests, table
+from weftline.plans.inputs import kept, requests, table
 
 
 def _structured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    heads, sections = structure(normalize.normalise(docs))
+    heads, sections = structure(kept(normalize.normalise(docs), "lines"))
+    sections = kept(sections, "sections")
     asked = requests(docs).join(heads.select("doc_id", "title", "subtitle", F.col("author").alias("author_name")), "doc_id", "left")
     asked = asked.withColumn("title", F.coalesce("title", F.lit("Presentation"))).withColumn("author_email", F.lit(None).cast("string")).withColumnRenamed("doc_id", "request_id")
-    return docs, sections.withColumnRenamed("doc_id", "request_id"), asked
+    return docs, sections.withColumnRenamed("doc_id", "request_id"), kept(asked, "requests")
+
+
+def _content(sections: DataFrame, asked: DataFrame) -> DataFrame:
+    return kept(deck.content_slides(kept(planner.plan(sections, asked), "plan"), asked), "content")
 
 
 def section_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,25 +48,25 @@ def plan_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sections, asked = _structured(spark, sf_dir)
-    content = deck.content_slides(planner.plan(sections, asked), asked)
+    content = _content(sections, asked)
     return deck.outline(content, asked).withColumn("bullets", F.array_join("bullets", "\n"))
 
 
 def recap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sections, asked = _structured(spark, sf_dir)
-    content = deck.content_slides(planner.plan(sections, asked), asked)
+    content = _content(sections, asked)
     return deck.recap(content).select("request_id", F.posexplode("bullets").alias("pos", "line"))
 
 
 def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sections, asked = _structured(spark, sf_dir)
-    content = deck.content_slides(planner.plan(sections, asked), asked)
+    content = _content(sections, asked)
     return deck.assemble(content, asked).withColumn("bullets", F.array_join("bullets", "\n"))
 
 
 def rendered_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sections, asked = _structured(spark, sf_dir)
-    whole = deck.assemble(deck.content_slides(planner.plan(sections, asked), asked), asked)
+    whole = deck.assemble(_content(sections, asked), asked)
     dense = F.col("type").isin("theory", "practical") & (F.size("bullets") >= 4)
     out = deck.content_ordinal(deck.promoted(whole, dense))
     blocks = spark.createDataFrame([(1, "cover"), (2, "outline"), (3, "theory"), (4, "practical"), (5, "theory"), (6, "end")], "block_no int, type string")
@@ -71,7 +76,7 @@ def rendered_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def figure_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as figures of every request's deck would be a product; here each document's longest line is a figure of its own deck."""
     docs, sections, asked = _structured(spark, sf_dir)
-    content = deck.content_slides(planner.plan(sections, asked), asked)
+    content = _content(sections, asked)
     lines = docs.select(F.col("doc_id").alias("request_id"), F.posexplode(F.split("text", "\n")).alias("figure_no", "caption")).where("figure_no % 3 = 0 and caption <> ''")
     figures = lines.withColumn("section", F.array_join(F.slice(F.split("caption", " "), 1, 3), " "))
     return matching.figure_matches(content, figures).withColumn("score", F.round("score", 9))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,10 @@ def scratch(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftline-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder once and read back, for what a plan reads several times."""
+    path = f"{scratch(df.sparkSession)}/weftline-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from weftline.functions import maths
 from weftline.functions import text as t
 from weftline.operators import geometry, matching, normalize
 from weftline.operators.structure import structure
-from weftline.plans.inputs import requests, table
+from weftline.plans.inputs import kept, requests, table
 from weftline.sources.readers import html_text
 
 
@@ -50,11 +50,11 @@ def normalised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure(normalize.normalise(table(spark, sf_dir, "documents")))[0]
+    return structure(kept(normalize.normalise(table(spark, sf_dir, "documents")), "lines"))[0]
 
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = structure(normalize.normalise(table(spark, sf_dir, "documents")))[1]
+    s = structure(kept(normalize.normalise(table(spark, sf_dir, "documents")), "lines"))[1]
     return s.select("doc_id", "section_no", "heading", "type", F.size("points").alias("n_points"), F.array_join("points", "\n").alias("points"))
 
 
