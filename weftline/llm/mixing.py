@@ -148,6 +148,6 @@ def mix_sources(
 
 
 def taken_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as planned, with ``copy`` from 1. Ids must be unique."""
-    p = plan.where("copies > 0").select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    """The mix itself: the rows of docs, each as often as planned, with ``copy`` from 1; rows that repeat an id each as the most planned of them."""
+    p = plan.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     return docs.join(p, docs["doc_id"].eqNullSafe(p["_id"])).drop("_id")

@@ -156,8 +156,8 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     joint = written(joint, "joint")
     candidates = joint.select("term").distinct()
     total = written(corpus_counts(docs, candidates), "terms")
-    every = total.where("term is null").select(F.col("n").alias("corpus"))
-    size = found.groupBy("entity").agg(F.sum("n").alias("near")).join(F.broadcast(every))  # one row
+    every = total.where("term is null").first()
+    size = found.groupBy("entity").agg(F.sum("n").alias("near")).withColumn("corpus", F.lit(every["n"] if every else 0))
     scored = (
         joint.join(total.where("term is not null").withColumnRenamed("n", "total"), "term")
         .join(size, "entity")
