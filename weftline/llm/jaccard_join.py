@@ -23,6 +23,8 @@ MAX_MATCHES = 6
 UNSEEN = 0.25
 #: Members of a list that is long, and hubs of a long list.
 LONG, HUBS = 16, 4
+#: Bits of a set's parity bitmap.
+BITMAP = 512
 
 ROLL = Rolling(0xC2B2AE3D27D4EB4F, LOWER_VALUES)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +63,17 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
     return h, edge, sids
 
 
+def bitmaps(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Each row's parity bitmap, as BITMAP / 64 longs: a bit tells whether an odd number of its shingles fall to it.
+
+    Two sets differ in at least as many shingles as their bitmaps differ in bits.
+    """
+    rows = len(edge) - 1
+    row = np.repeat(np.arange(rows), np.diff(edge))
+    odd = np.bincount(row * BITMAP + (h & np.uint64(BITMAP - 1)).astype(np.int64), minlength=rows * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, BITMAP), axis=1).view(np.int64)
+
+
 def _parts(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(part for batch in batches for part in slices(batch, 1))
@@ -74,11 +87,13 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def members_and_counts(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid) of every row, and a sketch: how many shingles below COUNTED fall to each of 2**SKETCH_BITS counters.
+    """(doc_id, n, sid, bits) of every row, and a sketch: how many shingles below COUNTED fall to each of 2**SKETCH_BITS counters.
 
     A task's counters stop at 255 each; the sketch only orders tokens, and any order is exact.
     """
 
+    names = ["doc_id", "n", "sid", "bits", "part", "counts"]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n_held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         for part in parts:
@@ -89,20 +104,22 @@ def members_and_counts(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
                 held, n_held = [], 0
             none = pa.nulls(part.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edge)), pa.array(signed(sids)), none, pa.nulls(part.num_rows, pa.binary())], ["doc_id", "n", "sid", "part", "counts"])
+            own = bitmaps(h, edge)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * own.shape[1]), pa.array(own.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edge)), pa.array(signed(sids)), bits, none, pa.nulls(part.num_rows, pa.binary())], names)
         if held:
             counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
         small = np.minimum(counts, 255).astype(np.uint8)
         some = [i for i in range(len(small) // PART) if small[i * PART : (i + 1) * PART].any()]
         m = len(some)
         data = pa.array([small[i * PART : (i + 1) * PART].tobytes() for i in some], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.array(some, pa.int32()), data], ["doc_id", "n", "sid", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.list_(pa.int64())), pa.array(some, pa.int32()), data], names)
 
-    both = written(_parts(docs, run, "doc_id long, n long, sid long, part int, counts binary"), "members")
+    both = written(_parts(docs, run, "doc_id long, n long, sid long, bits array<long>, part int, counts binary"), "members")
     sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
     for r in both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_added, "part int, counts binary").toLocalIterator():
         sketch[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint64)
-    return both.where("part is null").select("doc_id", "n", "sid"), sketch
+    return both.where("part is null").select("doc_id", "n", "sid", "bits"), sketch
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -220,6 +237,12 @@ def _possible(x: str, y: str, a: int, b: int) -> Column:
     return (b * F.least(n1, n2) >= a * F.greatest(n1, n2)) & ((a + b) * room >= a * (n1 + n2)) & ((a + b) * met >= a * (n1 + n2))
 
 
+def _near(x: str, y: str, a: int, b: int) -> Column:
+    """Whether the bitmaps of two sets leave room for a link: a link's sets differ in (b - a) / (a + b) of their sizes at most."""
+    apart = sum((F.bit_count(F.col(f"{x}bits")[i].bitwiseXOR(F.col(f"{y}bits")[i])) for i in range(BITMAP // 64)), F.lit(0))
+    return (a + b) * apart <= (b - a) * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+
 def _one(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(sid.view(np.uint64) ^ mix(doc.view(np.uint64)))
 
@@ -286,8 +309,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     percent/100; component_id is the smallest doc_id that links reach. Equal sets are one vertex.
     The rest is found through prefixes (see prefix()): the members of long lists are first
     paired with a few hubs (see hub_pairs()) and verified on whole sets, and then all pairs of a list whose members are
-    still in different components are counted, kept where they share as many prefix tokens as their
-    demands and sizes ask for, and verified. Pairs inside one component need no test, so a group
+    still in different components are counted, kept where their bitmaps leave room for a link and
+    they share as many prefix tokens as their demands and sizes ask for, and verified. Pairs inside one component need no test, so a group
     of near copies costs about as many tests as members, and no link between components is missed.
     Prefixes of any length are exact; nothing is capped.
 
@@ -308,9 +331,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = found.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    live = placed.join(mixed, "token", "left_semi")
+    live = written(placed.join(mixed, "token", "left_semi"), "live")
+    bits = members.join(live.select("sid").distinct(), "sid").groupBy("sid").agg(F.first("bits").alias("bits"))
+    live = live.join(bits, "sid")
     x, y = live.alias("x"), live.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _possible("x.", "y.", a, b))
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _possible("x.", "y.", a, b) & _near("x.", "y.", a, b))
     short = F.ceil(F.lit(a) * (F.col("x.n") + F.col("y.n")) / (a + b)) - F.greatest(F.col("x.n") - _prefix_length("x.", a, b), F.col("y.n") - _prefix_length("y.", a, b))
     cross = cross.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first(F.greatest(F.least("x.matches", "y.matches"), short)).alias("asked"))
     cross = cross.where("shared >= asked").join(star, ["a", "b"], "left_anti")
@@ -320,7 +345,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # links of the second kind join components; those of the first kind stay
     whole = components(links.unionByName(more))
 
-    named = members.join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
+    named = members.drop("bits").join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
     named = written(named, "named")
     least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     hot = named.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
