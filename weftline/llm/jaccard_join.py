@@ -13,7 +13,7 @@ from weftline.llm import bloom
 from weftline.llm.common import LOWER_VALUES, Rolling, mix, signed, slices, text_bytes, word_bounds, written
 from weftline.llm.components import components
 
-#: Counters of the frequency sketch (64 MB on the driver, 8 MB of classes in a task), in parts; the lowest hashes, which alone
+#: Counters of the frequency sketch (32 MB on the driver for a while, then 8 MB of classes there and in a task), in parts; the lowest hashes, which alone
 #: reach prefixes as a rule, are counted; shingles counted at a time; the most shared tokens that a prefix may ask for; partners
 #: that a token below the sketch's noise is taken to have.
 SKETCH_BITS, PART = 23, 1 << 17
@@ -86,10 +86,10 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def members_and_counts(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid, bits) of every row, and a sketch: how many shingles below COUNTED fall to each of 2**SKETCH_BITS counters.
+def members_and_levels(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, sid, bits) of every row, and the classes of a sketch: how many shingles below COUNTED fall to each of 2**SKETCH_BITS counters.
 
-    A task's counters stop at 255 each; the sketch only orders tokens, and any order is exact.
+    A task's counters stop at 255 each; the classes only order tokens, and any order is exact.
     """
 
     names = ["doc_id", "n", "sid", "bits", "part", "counts"]
@@ -116,10 +116,10 @@ def members_and_counts(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.list_(pa.int64())), pa.array(some, pa.int32()), data], names)
 
     both = written(_parts(docs, run, "doc_id long, n long, sid long, bits array<long>, part int, counts binary"), "members")
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_added, "part int, counts binary").toLocalIterator():
-        sketch[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint64)
-    return both.where("part is null").select("doc_id", "n", "sid", "bits"), sketch
+        sketch[r["part"] * PART : (r["part"] + 1) * PART] = np.minimum(np.frombuffer(r["counts"], np.uint64), (1 << 32) - 1)
+    return both.where("part is null").select("doc_id", "n", "sid", "bits"), levels(sketch)
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -128,9 +128,11 @@ def _counter(h: np.ndarray) -> np.ndarray:
 
 def levels(sketch: np.ndarray) -> np.ndarray:
     """Frequency class of each counter: 0 for what chance explains, then one more for each doubling above it."""
-    mean = sketch.mean()
-    above = np.maximum(sketch.astype(float) - mean - 5 * np.sqrt(mean + 1), 0)
-    return np.ceil(np.log2(above + 1)).astype(np.uint8)
+    chance = sketch.mean() + 5 * np.sqrt(sketch.mean() + 1)
+    out = np.zeros(len(sketch), np.uint8)
+    for lo in range(0, len(sketch), PART):
+        out[lo : lo + PART] = np.ceil(np.log2(np.maximum(sketch[lo : lo + PART] - chance, 0) + 1))
+    return out
 
 
 def prefix(h: np.ndarray, level: np.ndarray, a: int, b: int) -> tuple[np.ndarray, int]:
@@ -157,9 +159,9 @@ def prefix(h: np.ndarray, level: np.ndarray, a: int, b: int) -> tuple[np.ndarray
 _ENTRY = "token long, sid long, n int, pos int, matches int"
 
 
-def entries(docs: DataFrame, k: int, sketch: np.ndarray, a: int, b: int) -> DataFrame:
+def entries(docs: DataFrame, k: int, level: np.ndarray, a: int, b: int) -> DataFrame:
     """Prefix tokens of every distinct set (equal sets of one partition once)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels(sketch))
+    shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
@@ -320,8 +322,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     a, b = percent, 100
     base = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
-    members, sketch = members_and_counts(base, k)
-    found = written(lists(entries(base, k, sketch, a, b)), "lists")
+    members, level = members_and_levels(base, k)
+    found = written(lists(entries(base, k, level, a, b)), "lists")
     found = written(found.join(found.groupBy("sid").agg(F.count("*").cast("int").alias("listed")), "sid"), "lists")
     star = written(hub_pairs(found, a, b), "star")
     near = written(sets_of(base, k, star.select(F.explode(F.array("a", "b")).alias("sid")), members), "sets")
