@@ -13,7 +13,7 @@ from weftline.llm import bloom
 from weftline.llm.common import LOWER_VALUES, Rolling, mix, signed, slices, text_bytes, word_bounds, written
 from weftline.llm.components import components
 
-#: Counters of the frequency sketch (32 MB on the driver for a while, then 8 MB of classes there and in a task), in parts; the lowest hashes, which alone
+#: Counters of the frequency sketch (8 MB of classes on the driver and in a task), in parts; the lowest hashes, which alone
 #: reach prefixes as a rule, are counted; shingles counted at a time; the most shared tokens that a prefix may ask for; partners
 #: that a token below the sketch's noise is taken to have.
 SKETCH_BITS, PART = 23, 1 << 17
@@ -83,7 +83,7 @@ def _parts(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 def _added(table: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(x, np.uint8).astype(np.uint64) for x in table.column("counts").to_pylist()], axis=0, dtype=np.uint64)
-    return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary()), "total": pa.array([int(total.sum())])})
 
 
 def members_and_levels(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -116,23 +116,28 @@ def members_and_levels(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.list_(pa.int64())), pa.array(some, pa.int32()), data], names)
 
     both = written(_parts(docs, run, "doc_id long, n long, sid long, bits array<long>, part int, counts binary"), "members")
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for r in both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_added, "part int, counts binary").toLocalIterator():
-        sketch[r["part"] * PART : (r["part"] + 1) * PART] = np.minimum(np.frombuffer(r["counts"], np.uint64), (1 << 32) - 1)
-    return both.where("part is null").select("doc_id", "n", "sid", "bits"), levels(sketch)
+    sums = written(both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_added, "part int, counts binary, total long"), "sketch")
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [levels(np.frombuffer(c, np.uint64), mean).tobytes() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["part", "classes"])
+
+    level = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in sums.select("part", "counts").mapInArrow(classed, "part int, classes binary").toLocalIterator():
+        level[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["classes"], np.uint8)
+    return both.where("part is null").select("doc_id", "n", "sid", "bits"), level
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
     return ((h * GOLD) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
 
 
-def levels(sketch: np.ndarray) -> np.ndarray:
+def levels(counts: np.ndarray, mean: float) -> np.ndarray:
     """Frequency class of each counter: 0 for what chance explains, then one more for each doubling above it."""
-    chance = sketch.mean() + 5 * np.sqrt(sketch.mean() + 1)
-    out = np.zeros(len(sketch), np.uint8)
-    for lo in range(0, len(sketch), PART):
-        out[lo : lo + PART] = np.ceil(np.log2(np.maximum(sketch[lo : lo + PART] - chance, 0) + 1))
-    return out
+    above = np.maximum(counts - mean - 5 * np.sqrt(mean + 1), 0)
+    return np.ceil(np.log2(above + 1)).astype(np.uint8)
 
 
 def prefix(h: np.ndarray, level: np.ndarray, a: int, b: int) -> tuple[np.ndarray, int]:
