@@ -50,10 +50,9 @@ TEMPLATES: dict[str, tuple[str, str]] = {
 }
 TRIGGERS = (b"licen", b"copyright", b"permission", b"redistribut", b"all rights reserved", b"public domain", b"unencumbered", b"warrant")
 
-#: Parameters: least share of a block's compressed size that a template saves, templates compared word by word, most of a
-#: template's words that may be missing, longest line taken whole.
+#: Parameters: least share of a block's compressed size that a template saves, most of a template's words that may be
+#: missing, longest line taken whole.
 MIN_GAIN = 0.25
-RANKED = 4
 MAX_MISSING = 0.25
 LONG_LINE = 400
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -79,21 +78,19 @@ class Scanner:
             raw = zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.known.append((name, own, frozenset(keys.split()), zstandard.ZstdCompressor(dict_data=raw, **options)))
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(gain, template number) by falling gain: the share of the block's compressed size that the template as raw dictionary saves."""
-        data = " ".join(words(block)).encode()
+    def gain(self, data: bytes, i: int) -> float:
+        """The share of the compressed size of a block that template i as raw dictionary saves."""
         alone = len(self.plain.compress(data))
-        gains = [((alone - len(t[3].compress(data))) / alone, i) for i, t in enumerate(self.known)]
-        return sorted((g for g in gains if g[0] >= MIN_GAIN), key=lambda g: (-g[0], g[1]))[:RANKED]
+        return (alone - len(self.known[i][3].compress(data))) / alone
 
     def match(self, block: str) -> tuple[str, float, list[str], list[str]] | None:
-        """(license, gain, missing, added): of the best-ranked templates the one whose wording the block differs from least, key words all there."""
+        """(license, gain, missing, added): of all templates whose key words are there and that save enough, the one whose wording the block differs from least."""
         own, best = words(block), None
         if not own:
             return None
-        for gain, i in self.ranked(block):
-            name, wanted, keys, _ = self.known[i]
-            if not keys <= set(own):
+        there, data = set(own), " ".join(own).encode()
+        for i, (name, wanted, keys, _) in enumerate(self.known):
+            if not keys <= there or (gain := self.gain(data, i)) < MIN_GAIN:
                 continue
             missing, added = [], []
             for op, a, b, c, d in difflib.SequenceMatcher(None, wanted, own, autojunk=False).get_opcodes():
