@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
 from weftline.llm.common import slices, text_bytes
 
-#: Wordings of public license statements. keys: words without which a block is another license or version.
+#: Wordings of public license statements. keys: words without which a statement is another license or version.
 TEMPLATES: dict[str, tuple[str, str]] = {
     "MIT": ("Released under the MIT License.", "mit"),
     "MIT-notice": (
@@ -48,19 +50,45 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
     "Proprietary": ("Copyright. All rights reserved.", "all rights reserved"),
 }
-TRIGGERS = (b"licen", b"copyright", b"permission", b"redistribut", b"all rights reserved", b"public domain", b"unencumbered", b"warrant")
-
-#: Parameters: least share of a block's compressed size that a template saves, most of a template's words that may be
-#: missing, longest line taken whole.
+#: Parameters: least share of a span's compressed size that a template saves, most of a template's words that may be
+#: missing, how many added words weigh as much as a missing one in the generous and in the tight alignment.
 MIN_GAIN = 0.25
 MAX_MISSING = 0.25
-LONG_LINE = 400
-WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
+WEIGHTS = (4, 1)
+WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
+BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [w.lower() for w in WORD.findall(text)]
+
+
+def aligned(wanted: np.ndarray, own: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cost, first, missing) for each number of words of ``own``: the best span that ends there.
+
+    A missing word costs ``weight``, an added one 1; the cost is the least over all spans that end
+    there, and the shortest of equals counts. A row of the table is one numpy step.
+    """
+    at = np.arange(len(own) + 1)
+    unit = len(own) + 2  # a number holds cost * unit + words in the span
+    slope, best = at * (unit + 1), np.zeros(len(own) + 1, np.int64)
+    for w in wanted:
+        moved = best + weight * unit
+        here = np.flatnonzero(own == w)
+        moved[here + 1] = np.minimum(moved[here + 1], best[here] + 1)
+        best = np.minimum.accumulate(moved - slope) + slope
+    cost, length = best // unit, best % unit
+    return cost, at - length, (len(wanted) + cost - length) // (weight + 1)
+
+
+def differences(wanted: list[str], own: list[str]) -> tuple[list[str], list[str]]:
+    """(missing, added) words."""
+    missing, added = [], []
+    for op, a, b, c, d in difflib.SequenceMatcher(None, wanted, own, autojunk=False).get_opcodes():
+        if op != "equal":
+            missing += wanted[a:b]
+            added += own[c:d]
+    return missing, added
 
 
 @dataclass
@@ -72,70 +100,98 @@ class Scanner:
     def __post_init__(self) -> None:
         options = dict(level=9, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = zstandard.ZstdCompressor(**options)
-        self.known = []
+        self.known, self.number = [], {}
         for name, (text, keys) in self.templates.items():
             own = words(text)
             raw = zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.known.append((name, own, frozenset(keys.split()), zstandard.ZstdCompressor(dict_data=raw, **options)))
+            ids = np.array([self.number.setdefault(w, len(self.number)) for w in own], np.int64)
+            self.known.append((name, own, frozenset(keys.split()), zstandard.ZstdCompressor(dict_data=raw, **options), ids))
+        self.needed = {tuple(k.encode() for k in sorted(t[2], key=len, reverse=True)) for t in self.known}
+
+    def possible(self, low: bytes, start: int, stop: int) -> bool:
+        """Whether the key words of some template all stand in the lower-case bytes from start to stop."""
+        return any(all(low.find(k, start, stop) >= 0 for k in keys) for keys in self.needed)
 
     def gain(self, data: bytes, i: int) -> float:
-        """The share of the compressed size of a block that template i as raw dictionary saves."""
+        """The share of the compressed size of a span that template i as raw dictionary saves."""
         alone = len(self.plain.compress(data))
         return (alone - len(self.known[i][3].compress(data))) / alone
 
-    def match(self, block: str) -> tuple[str, float, list[str], list[str]] | None:
-        """(license, gain, missing, added): of all templates whose key words are there and that save enough, the one whose wording the block differs from least."""
-        own, best = words(block), None
-        if not own:
-            return None
-        there, data = set(own), " ".join(own).encode()
-        for i, (name, wanted, keys, _) in enumerate(self.known):
-            if not keys <= there or (gain := self.gain(data, i)) < MIN_GAIN:
+    def candidates(self, own: list[str], ids: np.ndarray, sentence: list[tuple[int, int]], lo: int, hi: int) -> list[tuple]:
+        """(order, first word, end word, template number, gain, missing, added) of all spans among the words lo to hi that a template confirms.
+
+        Key words may stand anywhere in the sentences that the span touches. More words in common
+        less differences come first, then fewer differences, larger gain and the order of the templates.
+        """
+        there, out, seen = set(own[lo:hi]), [], set()
+        for i, (_, wanted, keys, _, numbers) in enumerate(self.known):
+            most = MAX_MISSING * len(wanted)
+            if not keys <= there or sum(w not in there for w in wanted) > most:
                 continue
-            missing, added = [], []
-            for op, a, b, c, d in difflib.SequenceMatcher(None, wanted, own, autojunk=False).get_opcodes():
-                if op != "equal":
-                    missing += wanted[a:b]
-                    added += own[c:d]
-            if len(missing) <= MAX_MISSING * len(wanted) and (best is None or (len(missing) + len(added), -gain) < best[0]):
-                best = ((len(missing) + len(added), -gain), (name, gain, missing, added))
-        return best and best[1]
-
-    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """(start, end) of candidates: lines with a trigger word, of long lines the sentences; runs of such lines are one block."""
-        at, run = 0, None
-        for line in text.split("\n"):
-            cuts = [(0, len(line))]
-            if len(line) > LONG_LINE:
-                ends = [m.start() for m in SENTENCE.finditer(line)]
-                cuts = list(zip([0, *(m.end() for m in SENTENCE.finditer(line))], [*ends, len(line)]))
-            for lo, hi in cuts:
-                low = line[lo:hi].lower()
-                if any(t.decode() in low for t in TRIGGERS):
-                    run = (run[0], at + hi) if run else (at + lo, at + hi)
-                elif run:
-                    yield run
-                    run = None
-            at += len(line) + 1
-        if run:
-            yield run
+            for weight in WEIGHTS:
+                cost, first, missing = aligned(numbers, ids[lo:hi], weight)
+                ends = np.flatnonzero(missing[1:] <= most) + 1
+                ends = ends[np.isin(ids[lo + ends - 1], numbers)]
+                taken: list[tuple[int, int]] = []
+                for e in ends[np.argsort(cost[ends], kind="stable")].tolist():
+                    a, b = lo + int(first[e]), lo + e
+                    if not free(taken, a, b):
+                        continue
+                    insort(taken, (a, b))
+                    if (i, a, b) in seen or not keys <= set(own[max(lo, sentence[a][0]) : min(hi, sentence[b - 1][1])]):
+                        continue
+                    seen.add((i, a, b))
+                    gain = self.gain(" ".join(own[a:b]).encode(), i)
+                    gone, added = differences(wanted, own[a:b])
+                    if gain >= MIN_GAIN and len(gone) <= most:
+                        unlike = len(gone) + len(added)
+                        out.append(((len(gone) + unlike - len(wanted), unlike, -gain, i, a), a, b, i, gain, gone, added))
+        return sorted(out, key=lambda c: c[0])
 
     def scan(self, text: str) -> list[tuple[int, int, str, float, list[str], list[str]]]:
-        """(start, end, license, gain, missing, added) of each license block; a block that matches nothing as a whole is tried line by line."""
-        out = []
-        for lo, hi in self.blocks(text):
-            found = self.match(text[lo:hi])
-            if found:
-                out.append((lo, hi, *found))
-                continue
-            at = lo
-            for line in text[lo:hi].split("\n") if "\n" in text[lo:hi] else []:
-                if found := self.match(line):
-                    out.append((at, at + len(line), *found))
-                at += len(line) + 1
+        """(start, end, license, gain, missing, added) of each license statement, by place.
+
+        Every span of words is compared, whatever lines it runs over; what the best spans leave is
+        scanned again until nothing more is found. A statement reaches from its span to the ends of the
+        sentence and line there, or to the next statement; all its other words are added ones.
+        """
+        places = [m.span() for m in WORD.finditer(text)]
+        own = [text[a:b].lower() for a, b in places]
+        starts, sentence = [a for a, _ in places], []
+        cuts = sorted({bisect_left(starts, m.end()) for m in BREAK.finditer(text)} | {0, len(own)})
+        for a, b in zip(cuts, cuts[1:]):
+            sentence += [(a, b)] * (b - a)
+        ids = np.array([self.number.get(w, -1) for w in own], np.int64)
+        found, todo = [], [(0, len(own))]
+        while todo:
+            lo, hi = todo.pop()
+            taken, best = [], []
+            for c in self.candidates(own, ids, sentence, lo, hi):
+                if free(taken, c[1], c[2]):
+                    insort(taken, (c[1], c[2]))
+                    best.append(c)
+            if best:
+                found += best
+                edges = [lo, *(x for span in taken for x in span), hi]
+                todo += [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b > a]
+        found.sort(key=lambda c: c[1])
+        out, before = [], 0
+        for n, (_, a, b, i, gain, missing, added) in enumerate(found):
+            lo, hi = max(before, sentence[a][0]), min(sentence[b - 1][1], found[n + 1][1] if n + 1 < len(found) else len(own))
+            stop = places[hi - 1][1]
+            while stop < len(text) and not text[stop].isspace() and not (hi < len(own) and stop >= places[hi][0]):
+                stop += 1
+            out.append((places[lo][0], stop, self.known[i][0], gain, missing, own[lo:a] + added + own[b:hi]))
+            before = hi
         return out
 
 
+def free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether the span from a to b meets none of the sorted, separate ones."""
+    n = bisect_left(taken, (a, b))
+    return (n == 0 or taken[n - 1][1] <= a) and (n == len(taken) or taken[n][0] >= b)
+
+
 SCHEMA = "doc_id long, start long, stop long, license string, gain double, missing array<string>, added array<string>"
 
 
@@ -143,8 +199,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row for each license statement: its place in code points, license, gain, and the exact wording differences.
 
     Null and empty texts give no rows, a null id stays null, repeated rows give repeated results, and
-    other columns are ignored. Ties between templates go to fewer differences, then larger gain, then
-    the order of the templates. Whole texts are scanned; a task holds one Arrow batch.
+    other columns are ignored. Of templates that meet at one place the one with more words in common less
+    differences wins; ties go to fewer differences, then larger gain, then the order of the templates.
+    Every span of a text is compared, over any lines; a task holds one Arrow batch.
     """
     wanted = templates or TEMPLATES
 
@@ -156,7 +213,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 data, bounds, own, rows = raw.tobytes(), offs.tolist(), [], []
                 low = data.lower()
                 for i in range(part.num_rows):
-                    if any(low.find(t, bounds[i], bounds[i + 1]) >= 0 for t in TRIGGERS):
+                    if scanner.possible(low, bounds[i], bounds[i + 1]):
                         found = scanner.scan(data[bounds[i] : bounds[i + 1]].decode("utf-8", "replace"))
                         rows += found
                         own += [i] * len(found)
