@@ -93,3 +93,11 @@ def test_visual_plan(spark):
     raw = '[{"index":0,"kind":"flow","steps":["a","b"]},{"index":0,"kind":"flow","steps":["a"]},{"index":9,"kind":"photo","query":"q"},{"index":1,"kind":"odd"},{"index":0,"kind":"photo","query":"later"}]'
     df = spark.createDataFrame([(1, raw, 3)], "request_id long, raw string, n_slides int")
     assert [(r.idx, r.kind, r["query"]) for r in model_output.visual_plan(df).collect()] == [(0, "photo", "later")]
+
+
+def test_every_line_is_a_figure(spark):
+    """With one line of three taken, all numbers had the same rest."""
+    from weftline.plans import registry
+
+    got = registry.queries()["figure_matches"](spark, "/root/testdata/sf0.001")
+    assert {r.rest for r in got.selectExpr("figure_no % 3 as rest").distinct().collect()} == {0, 1, 2}

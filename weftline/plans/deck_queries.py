@@ -74,10 +74,10 @@ def rendered_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figure_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as figures of every request's deck would be a product; here each document's longest line is a figure of its own deck."""
+    """Every line of a document that is not empty is a figure of its own deck: the line is the caption, its first three words are the section."""
     docs, sections, asked = _structured(spark, sf_dir)
     content = _content(sections, asked)
-    lines = docs.select(F.col("doc_id").alias("request_id"), F.posexplode(F.split("text", "\n")).alias("figure_no", "caption")).where("figure_no % 3 = 0 and caption <> ''")
+    lines = docs.select(F.col("doc_id").alias("request_id"), F.posexplode(F.split("text", "\n")).alias("figure_no", "caption")).where("caption <> ''")
     figures = lines.withColumn("section", F.array_join(F.slice(F.split("caption", " "), 1, 3), " "))
     return matching.figure_matches(content, figures).withColumn("score", F.round("score", 9))
 
