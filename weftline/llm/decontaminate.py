@@ -6,16 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import LOWER_VALUES, Rolling, mix, signed, slices, text_bytes, word_bounds, written
 
-#: Parameters: words a window, least literal words in it, least share of an item's windows, windows that one pass holds.
+#: Parameters: words a window, least literal words of a template window, least share of an item's windows, windows that one
+#: pass holds, and the share of an item's windows (a window's words at least) that neighbouring alignments may differ by.
 WINDOW = 8
 MIN_LITERAL = 4
 MIN_SHARE = 0.5
 BLOCK_WINDOWS = 1_000_000
+DRIFT = 0.25
 
 #: Words that are units after a number (compared without case).
 UNITS = (
@@ -100,52 +102,62 @@ def canonical(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return symbols, values, literal, bounds
 
 
-def windows(symbols: np.ndarray, literal: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first word, row) of every window of k words inside a row that has MIN_LITERAL literal words."""
+def windows(symbols: np.ndarray, values: np.ndarray, literal: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, row, exact) of every window of k words inside a row; one with less than MIN_LITERAL literal words is exact: hashed by its values."""
     n = len(symbols) - k + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, np.zeros(0, bool)
     h = np.zeros(n, np.uint64)
     for i in range(k):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + symbols[i : i + n])
     run = np.concatenate([[0], np.cumsum(literal)])
     row = np.searchsorted(bounds, np.arange(n), "right") - 1
-    ok = (np.arange(n) + k <= bounds[row + 1]) & (run[k:] - run[:-k] >= min(MIN_LITERAL, k))
-    first = np.flatnonzero(ok)
-    return signed(h)[first], first, row[first]
+    inside = np.arange(n) + k <= bounds[row + 1]
+    exact = run[k:] - run[:-k] < min(MIN_LITERAL, k)
+    few = np.flatnonzero(inside & exact)
+    own = np.full(len(few), QUANTITY ^ NUM)
+    for i in range(k):
+        own = mix(own * np.uint64(0x9E3779B97F4A7C15) + values[few + i])
+    h[few] = own
+    first = np.flatnonzero(inside)
+    return signed(h)[first], first, row[first], exact[first]
 
 
-_WINDOW = "id long, at int, h long, names array<long>, slots array<long>, total int"
+_WINDOW = "id long, at int, h long, names array<long>, slots array<long>, exact boolean, total int, templates int"
 
 
 def _rows(part: pa.RecordBatch, k: int, block: np.ndarray | None) -> pa.RecordBatch:
-    """Windows of the rows; with a block, only those whose hash is in it. names: the slots' places in the window; slots: their values."""
+    """Windows of the rows; with a block, only those whose hash is in it. names: the slots' places in the window; slots: their values; an exact window has none."""
     raw, offs = text_bytes(part.column(1))
     symbols, values, literal, bounds = canonical(raw, offs)
-    h, first, row = windows(symbols, literal, bounds, k)
+    h, first, row, exact = windows(symbols, values, literal, bounds, k)
     total = np.bincount(row, minlength=part.num_rows)
+    templates = np.bincount(row[~exact], minlength=part.num_rows)
     if block is not None:
         if not len(block):
-            h, first, row = h[:0], first[:0], row[:0]
+            h, first, row, exact = h[:0], first[:0], row[:0], exact[:0]
         else:
             at = np.searchsorted(block, h)
             at[at == len(block)] = 0
             hit = block[at] == h
-            h, first, row = h[hit], first[hit], row[hit]
+            h, first, row, exact = h[hit], first[hit], row[hit], exact[hit]
     names, slots, sv = [], [], signed(values)
-    for f in first.tolist():
-        own = np.flatnonzero(~literal[f : f + k])
+    for f, e in zip(first.tolist(), exact.tolist()):
+        own = np.flatnonzero(~literal[f : f + k]) if not e else np.zeros(0, np.int64)
         names.append(own.tolist())
         slots.append(sv[f + own].tolist())
     ids = part.column(0).take(pa.array(row))
     at = (first - bounds[row]).astype(np.int32)
     kind = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(h), pa.array(names, kind), pa.array(slots, kind), pa.array(total[row].astype(np.int32))], ["id", "at", "h", "names", "slots", "total"])
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(at), pa.array(h), pa.array(names, kind), pa.array(slots, kind), pa.array(exact), pa.array(total[row].astype(np.int32)), pa.array(templates[row].astype(np.int32))],
+        ["id", "at", "h", "names", "slots", "exact", "total", "templates"],
+    )
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
-    """Template windows of the benchmark items; an item with fewer than k words has none."""
+    """Windows of the benchmark items; an item with fewer than k words has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,10 +192,14 @@ def matching_windows(docs: DataFrame, wanted: DataFrame, k: int = WINDOW) -> Dat
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = WINDOW, share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, item_id, matched, windows, share, reworded): a row for each document and item that it leaks.
 
-    A document leaks an item when, along one alignment (the document's word minus the item's), at
-    least ``share`` of the item's template windows are found and the slots are consistent: within
-    the alignment each value of an item's slot stands for one value in the document. ``reworded``
-    tells that some slot differs, a re-parameterised question; otherwise it is a verbatim passage.
+    A document leaks an item when at least ``share`` of the item's windows are found along one
+    alignment (the document's word minus the item's) or along neighbouring ones, as words that were
+    put in or left out shift the rest, and the slots are consistent: there each value of an item's slot
+    stands for one value in the document. Neighbouring alignments differ by up to DRIFT of the item's
+    windows, or k words; of a window's places among them the one on the best-filled alignment counts.
+    Windows with few literal words have no slots and match by their values only, so the share of the
+    item's template windows alone, or of all its windows, is enough; the larger one is told.
+    ``reworded`` tells that some slot differs, a re-parameterised question; otherwise it is a verbatim passage.
     Texts are compared without case and punctuation. Null and empty texts and items of fewer than k
     words match nothing; a null id matches nothing; rows that repeat an id are one document;
     repeated items are one. Other columns are ignored. No window is left out for being common.
@@ -193,15 +209,24 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     ours = written(matching_windows(base, theirs.select("h").distinct(), k), "windows")
     d, i = ours.alias("d"), theirs.alias("i")
     pairs = d.join(i, "h").select(
-        F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"), F.col("i.total").alias("windows"),
+        F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"), F.col("i.exact").alias("exact"), F.col("i.total").alias("total"), F.col("i.templates").alias("templates"),
         F.transform(F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("slots"),
     )
-    key = ["doc_id", "item_id", "shift"]
-    pairs = written(pairs.dropDuplicates([*key, "at"]), "pairs")
-    found = pairs.groupBy(*key).agg(F.count("*").alias("matched"), F.max("windows").alias("windows"))
-    found = found.where(F.col("matched") >= F.lit(share) * F.col("windows"))
+    line = ["doc_id", "item_id", "shift"]
+    pairs = pairs.dropDuplicates([*line, "at"]).withColumn("filled", F.count("*").over(Window.partitionBy(*line)))
+    drift = F.greatest(F.lit(k), F.floor(F.col("total") * DRIFT)).cast("long")
+    near = F.floor(F.col("shift") / drift)
+    band = lambda wide, no: F.struct(F.lit(wide).alias("wide"), no.cast("long").alias("no"))
+    pairs = pairs.withColumn("band", F.explode(F.array(band(False, F.col("shift")), band(True, near), band(True, near - 1))))
+    key = ["doc_id", "item_id", "wide", "no"]
+    one = F.max_by(F.struct("slots", "exact", "total", "templates"), F.struct("filled", -F.col("shift"))).alias("w")
+    pairs = written(pairs.select("*", "band.*").groupBy(*key, "at").agg(one).select(*key, "at", "w.*"), "pairs")
+    found = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(~F.col("exact")).alias("n_templates"), F.max("total").alias("total"), F.max("templates").alias("templates"))
+    rate = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
+    told = F.greatest(F.struct(rate("n", "total").alias("share"), F.col("n").alias("matched"), F.col("total").alias("windows")), F.struct(rate("n_templates", "templates").alias("share"), F.col("n_templates").alias("matched"), F.col("templates").alias("windows")))
+    found = found.withColumn("told", told).select(*key, "told.*").where(F.col("matched") >= F.lit(share) * F.col("windows"))
     slots = pairs.select(*key, F.explode("slots").alias("s")).groupBy(*key, F.col("s.a").alias("a")).agg(F.min("s.b").alias("lo"), F.max("s.b").alias("hi"))
     checked = slots.groupBy(*key).agg(F.min((F.col("lo") == F.col("hi")).cast("int")).alias("steady"), F.max((F.col("lo") != F.col("a")).cast("int")).alias("moved"))
     good = found.join(checked, key, "left").where(F.coalesce("steady", F.lit(1)) == 1)
-    best = F.max(F.struct((F.col("matched") / F.col("windows")).alias("share"), "matched", "windows", (F.coalesce("moved", F.lit(0)) == 1).alias("reworded")))
+    best = F.max(F.struct("share", "matched", "windows", (F.coalesce("moved", F.lit(0)) == 1).alias("reworded")))
     return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.windows").cast("long").alias("windows"), F.col("b.share").alias("share"), F.col("b.reworded").alias("reworded"))
