@@ -20,20 +20,26 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = (b"passw", b"secret", b"token", b"key")
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: The candidates of the entropy pass and, for each class, (characters, window, least bits per character).
+#: The candidates of the entropy pass, their parts ('=' ends a part, or pads it where no more characters follow) and, for
+#: each class, (characters, window, least bits per character). Names and paths come closest where there are no digits: more bits.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[^=]+(?:=+\Z)?")
 CLASSES = (
     ("hex", re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]+|[0-9A-F]+)\Z"), 32, 3.0),
     ("base32", re.compile(r"(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+=*\Z"), 20, 3.5),
+    ("base36", re.compile(r"(?=.*[0-9])(?=.*[a-z])[a-z0-9]+=*\Z"), 24, 3.7),
     ("base64", re.compile(r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+=*\Z"), 24, 3.9),
+    ("letters", re.compile(r"(?=.*[A-Z])(?=.*[a-z])[A-Za-z+/_-]+=*\Z"), 24, 4.1),
 )
-#: Shapes that look random but are public: identifiers, digests that are named as such, placeholders, counted-up digits.
+#: Shapes of whole parts that look random but are public: identifiers, digests that are named as such, paths, a vendor's sample
+#: key. Placeholders and counted-up digits inside a part are left out, what stands beside them is measured.
 ALLOWED = (
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
-    r"sha(?:1|256|384|512)-.*",
-    r".*(?:EXAMPLE|example|PLACEHOLDER|placeholder|xxxx|XXXX|1234567890|0123456789|abcdefgh|ABCDEFGH).*",
+    r"sha(?:1|256|384|512)-[^=]*=*",
     r"[a-z-]+(?:/[A-Za-z0-9_.-]+){2,}",
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLE(?:KEY)?",
 )
+PLACEHOLDERS = re.compile(r"EXAMPLE|example|PLACEHOLDER|placeholder|xxxx+|XXXX+|0123456789|1234567890|abcdefgh|ABCDEFGH")
 
 LONG_RUN = 16
 RUN_BYTES = np.zeros(256, bool)
@@ -78,16 +84,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], allowed: re.Pattern) -> list[tuple[int, int, int]]:
-    """Entropy spans outside the base ones and the allow-list."""
+    """Entropy spans outside the base ones and the allow-list: of each part of a candidate, the pieces that neither covers."""
     out = []
     for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if any(s < m.end() and m.start() < e for s, _, e in base) or allowed.fullmatch(word):
+        if allowed.fullmatch(m.group()):
             continue
-        for _, shape, window, least in CLASSES:
-            if shape.match(word):
-                out += [(m.start() + lo, 3, m.start() + hi) for lo, hi in entropy_spans(word, window, least)]
-                break
+        near = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
+        for part in PART.finditer(m.group()):
+            if allowed.fullmatch(part.group()):
+                continue
+            at, end = m.start() + part.start(), m.start() + part.end()
+            gone = sorted(near + [(at + p.start(), at + p.end()) for p in PLACEHOLDERS.finditer(part.group())])
+            for s, e in [*gone, (end, end)]:
+                piece = text[at : min(s, end)] if s > at else ""
+                for _, shape, window, least in CLASSES:
+                    if len(piece) >= 20 and shape.match(piece):
+                        out += [(at + lo, 3, at + hi) for lo, hi in entropy_spans(piece, window, least)]
+                        break
+                at = max(at, e)
     return out
 
 
@@ -117,7 +131,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text is empty and has no spans, a null id stays null, repeated rows give repeated results
     and other columns are ignored. Whole texts are scanned; a task holds one Arrow batch. ``allow``
-    are patterns of whole candidates that the entropy pass leaves alone.
+    are patterns of whole candidates, or of their parts between '=', that the entropy pass leaves alone.
     """
     pattern = "|".join(f"(?:{a})" for a in allow) or r"(?!)"
 
