@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom
-from weftline.llm.common import LOWER_VALUES, Rolling, mix, signed, slices, text_bytes, word_bounds, written
+from weftline.llm.common import LOWER_VALUES, Rolling, discard, mix, signed, slices, text_bytes, word_bounds, written
 from weftline.llm.components import components
 
 #: Counters of the frequency sketch (8 MB of classes on the driver and in a task), in parts; the lowest hashes, which alone
@@ -21,8 +21,8 @@ COUNTED = np.uint64(int(0.4 * 2**64))
 AT_ONCE = 1 << 22
 MAX_MATCHES = 6
 UNSEEN = 0.25
-#: Members of a list that is long, and hubs of a long list.
-LONG, HUBS = 16, 4
+#: Members of a list that is long, hubs that a round draws for a long list, and rounds at most (they only save work later).
+LONG, HUBS, ROUNDS = 16, 4, 6
 #: Bits of a set's parity bitmap.
 BITMAP = 512
 
@@ -162,6 +162,7 @@ def prefix(h: np.ndarray, level: np.ndarray, a: int, b: int) -> tuple[np.ndarray
 
 
 _ENTRY = "token long, sid long, n int, pos int, matches int"
+_LISTED = _ENTRY + ", least int"
 
 
 def entries(docs: DataFrame, k: int, level: np.ndarray, a: int, b: int) -> DataFrame:
@@ -196,11 +197,11 @@ def entries(docs: DataFrame, k: int, level: np.ndarray, a: int, b: int) -> DataF
 
 
 def lists(found: DataFrame) -> DataFrame:
-    """Entries of the tokens that two or more sets have, each (token, sid) once.
+    """Entries of the tokens that two or more sets have, each (token, sid) once, with ``least``, the size of the list's smallest set.
 
     Spark deals and sorts the entries; the scan over a sorted partition keeps one row at a time.
     """
-    names = ["token", "sid", "n", "pos", "matches"]
+    names = ["token", "sid", "n", "pos", "matches", "least"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, told, last = None, False, None
@@ -220,34 +221,37 @@ def lists(found: DataFrame) -> DataFrame:
             out = many.copy()
             out[0] &= not told
             told = bool(many[-1]) or (told and group[-1] == 0)
-            first = rows[np.searchsorted(group, group[-1])]
-            own = rows[out]
-            yield pa.RecordBatch.from_arrays([pa.array(own[:, i].astype(np.int64 if i < 2 else np.int32)) for i in range(5)], names)
+            opens = np.searchsorted(group, group)
+            first = rows[opens[-1]]
+            own = np.column_stack([rows, rows[opens, 2]])[out]
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, i].astype(np.int64 if i < 2 else np.int32)) for i in range(6)], names)
 
-    return found.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, _ENTRY)
+    return found.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(run, _LISTED)
 
 
-def _prefix_length(x: str, a: int, b: int) -> Column:
-    return F.col(f"{x}n") - F.ceil(F.col(f"{x}n") * a / b) + F.col(f"{x}matches")
+def _leading(a: int, b: int) -> Column:
+    """Whether a token can be the first that its set shares with any partner in the list.
 
+    The ``pos`` tokens before it are then the set's alone, and a partner has at least ``least`` shingles.
+    """
+    partner = F.greatest("least", F.ceil(F.lit(a) * F.col("n") / b))
+    return (a + b) * (F.col("n") - F.col("pos")) >= a * (F.col("n") + partner)
 
-def _possible(x: str, y: str, a: int, b: int) -> Column:
-    """Whether two entries of a token leave room for a link between their sets.
 
-    By the sizes; by the token's places; and by ``listed``, how many tokens of a set's prefix any
-    other prefix has: the prefix that ends first in the common order is met by at most that many
-    tokens, and the rest of its set adds at most its length.
-    """
+def _possible(x: str, y: str, a: int, b: int) -> Column:
+    """Whether two sets can link if this is the first token that they share: by their sizes, and by what is left from here on."""
     n1, n2, p1, p2 = (F.col(f"{k}{c}") for c in ("n", "pos") for k in (x, y))
-    room = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    met = F.least(f"{x}listed", f"{y}listed") + F.greatest(n1 - _prefix_length(x, a, b), n2 - _prefix_length(y, a, b))
-    return (b * F.least(n1, n2) >= a * F.greatest(n1, n2)) & ((a + b) * room >= a * (n1 + n2)) & ((a + b) * met >= a * (n1 + n2))
+    return (b * F.least(n1, n2) >= a * F.greatest(n1, n2)) & ((a + b) * F.least(n1 - p1, n2 - p2) >= a * (n1 + n2))
+
+
+def _apart(x: str, y: str) -> Column:
+    """In how many bits the bitmaps of two sets differ."""
+    return sum((F.bit_count(F.col(f"{x}bits")[i].bitwiseXOR(F.col(f"{y}bits")[i])) for i in range(BITMAP // 64)), F.lit(0))
 
 
 def _near(x: str, y: str, a: int, b: int) -> Column:
     """Whether the bitmaps of two sets leave room for a link: a link's sets differ in (b - a) / (a + b) of their sizes at most."""
-    apart = sum((F.bit_count(F.col(f"{x}bits")[i].bitwiseXOR(F.col(f"{y}bits")[i])) for i in range(BITMAP // 64)), F.lit(0))
-    return (a + b) * apart <= (b - a) * (F.col(f"{x}n") + F.col(f"{y}n"))
+    return (a + b) * _apart(x, y) <= (b - a) * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
 def _one(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -282,6 +286,18 @@ def sets_of(docs: DataFrame, k: int, wanted: DataFrame, members: DataFrame) -> D
     return _parts(docs, run, "sid long, items array<long>")
 
 
+def more_sets(docs: DataFrame, k: int, pairs: DataFrame, sets: DataFrame | None, members: DataFrame) -> DataFrame:
+    """The sets of all ends of the pairs, with those that are there already."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    if sets is not None:
+        wanted = wanted.join(sets.select("sid"), "sid", "left_anti")
+    wanted = written(wanted, "wanted")
+    if wanted.isEmpty() and sets is not None:
+        return sets
+    new = written(sets_of(docs, k, wanted, members), "sets")
+    return new if sets is None else sets.unionByName(new)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     x = sets.select(F.col("sid").alias("a"), F.col("items").alias("x"))
@@ -290,23 +306,45 @@ def verified(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
     return both.where((a + b) * F.col("i") >= a * F.col("s")).select("a", "b").distinct()
 
 
-def hub_pairs(found: DataFrame, a: int, b: int) -> DataFrame:
-    """(a, b): pairs of members of long lists with the HUBS most central members of each.
+def hub_pairs(rows: DataFrame, a: int, b: int, turn: int) -> DataFrame:
+    """(a, b): for each component that meets another in a long list, its nearest pair with a hub of such a list.
 
-    A member is central when most of its prefix stands in lists; equally central ones are drawn by a
-    hash, the same in every list, so that near copies meet the same hubs. A pair counts if it shares
-    as many tokens, in lists with this hub, as the smaller of the two demands. These pairs join large
-    groups with tests in proportion to the members; no other step relies on them.
+    Hubs are the member with the fewest tokens of its own before the list's and others drawn by a
+    hash: in the first round alike in all lists, so that near copies meet the same hubs, later by
+    list and round. Near is told by the bitmaps, so that one test joins most of what belongs together.
+    The pairs only join large groups with tests in proportion to the members; no other step relies on them.
     """
-    big = found.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") >= LONG).select("token")
-    rows = found.join(big, "token", "left_semi").withColumn("central", F.floor(8 * F.col("listed") / _prefix_length("", a, b)))
-    rows = written(rows, "long")
-    one = F.struct("sid", "n", "pos", "matches", "listed")
-    hubs = rows.groupBy("token").agg(F.array_distinct(F.array(*(F.max_by(one, F.struct("central", F.xxhash64("sid", F.lit(i)))) for i in range(HUBS)))).alias("hubs"))
-    met = rows.join(hubs, "token").withColumn("h", F.explode("hubs")).where((F.col("sid") != F.col("h.sid")) & _possible("", "h.", a, b))
-    met = met.groupBy("sid", F.col("h.sid").alias("hub")).agg(F.count("*").alias("shared"), F.first(F.least("matches", "h.matches")).alias("asked")).where("shared >= asked")
-    best = met.withColumn("r", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("shared"), "hub"))).where(F.col("r") <= HUBS)
-    return best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+    big = rows.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") >= LONG).select("token")
+    rows = written(rows.join(big, "token", "left_semi"), "long")
+    one = F.struct("sid", "comp", "n", "pos", "bits")
+    drawn = [F.xxhash64("sid", F.lit(turn * HUBS + i), *(["token"] if turn else [])) for i in range(HUBS)]
+    hubs = rows.groupBy("token").agg(F.array_distinct(F.array(F.min_by(one, F.struct("pos", drawn[0])), *(F.max_by(one, d) for d in drawn[1:]))).alias("hubs"))
+    met = rows.join(hubs, "token").withColumn("h", F.explode("hubs")).where((F.col("comp") != F.col("h.comp")) & _possible("", "h.", a, b) & _near("", "h.", a, b))
+    best = met.groupBy("comp").agg(F.min(F.struct(_apart("", "h.").alias("apart"), F.col("sid"), F.col("h.sid").alias("hub"))).alias("p"))
+    out = written(best.select(F.least("p.sid", "p.hub").alias("a"), F.greatest("p.sid", "p.hub").alias("b")).distinct(), "star")
+    discard(rows)
+    return out
+
+
+def asked_pairs(pairs: DataFrame, found: DataFrame, a: int, b: int) -> DataFrame:
+    """The pairs (a, b) that share as many tokens of their prefixes as the smaller demand, and as their sizes, ask for."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    own = found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("matches").alias("m"))
+    own = own.withColumn("rest", F.ceil(F.col("n") * a / b) - F.col("m"))
+    x, y = (own.select(F.col("sid").alias(k), F.struct("tokens", "n", "m", "rest").alias(f"of_{k}")) for k in ("a", "b"))
+    both = pairs.join(x, "a").join(y, "b")
+    short = F.ceil(F.lit(a) * (F.col("of_a.n") + F.col("of_b.n")) / (a + b)) - F.greatest("of_a.rest", "of_b.rest")
+    return both.where(F.size(F.array_intersect("of_a.tokens", "of_b.tokens")) >= F.greatest(F.least("of_a.m", "of_b.m"), short)).select("a", "b")
+
+
+def placed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The rows of lists that more than one component meets in, with their components; a set without links is its own."""
+    if comp is None:
+        return rows.withColumn("comp", F.col("sid"))
+    out = rows.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    out = written(out, "placed")
+    mixed = out.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return out.join(mixed, "token", "left_semi")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -314,12 +352,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents link when the Jaccard similarity of their sets of k-word shingles is at least
     percent/100; component_id is the smallest doc_id that links reach. Equal sets are one vertex.
-    The rest is found through prefixes (see prefix()): the members of long lists are first
-    paired with a few hubs (see hub_pairs()) and verified on whole sets, and then all pairs of a list whose members are
-    still in different components are counted, kept where their bitmaps leave room for a link and
-    they share as many prefix tokens as their demands and sizes ask for, and verified. Pairs inside one component need no test, so a group
-    of near copies costs about as many tests as members, and no link between components is missed.
-    Prefixes of any length are exact; nothing is capped.
+    The rest is found through prefixes (see prefix()). First, rounds of hub tests join large groups
+    (see hub_pairs()), until most tests of a round fail. Then the pairs of a list whose members are still
+    in different components are taken at the first token that they may share, kept where sizes,
+    places and bitmaps leave room for a link, asked for as many shared prefix tokens as they demand,
+    and verified on whole sets. Pairs inside one component need no test, so a group of near copies
+    costs about as many tests as members, and no link between components is missed. Prefixes of any
+    length are exact; nothing is capped.
 
     A text without words (null, empty, blank) has no shingles, links with nothing and is its own
     component. A null id takes part, but a component of null ids only has a null id. Rows that
@@ -329,30 +368,41 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
     members, level = members_and_levels(base, k)
     found = written(lists(entries(base, k, level, a, b)), "lists")
-    found = written(found.join(found.groupBy("sid").agg(F.count("*").cast("int").alias("listed")), "sid"), "lists")
-    star = written(hub_pairs(found, a, b), "star")
-    near = written(sets_of(base, k, star.select(F.explode(F.array("a", "b")).alias("sid")), members), "sets")
-    links = written(verified(star, near, a, b), "links")
-    comp = components(links)
-
-    placed = found.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    live = written(placed.join(mixed, "token", "left_semi"), "live")
-    bits = members.join(live.select("sid").distinct(), "sid").groupBy("sid").agg(F.first("bits").alias("bits"))
-    live = live.join(bits, "sid")
+    lead = found.where(_leading(a, b))
+    bits = members.join(lead.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("bits").alias("bits"))
+    lead = written(lead.join(bits, "sid").select("token", "sid", "n", "pos", "bits"), "leading")
+
+    comp = links = sets = tested = None
+    for turn in range(ROUNDS):
+        star = hub_pairs(placed(lead, comp), a, b, turn)
+        if star.isEmpty():
+            break
+        sets = more_sets(base, k, star, sets, members)
+        new = written(verified(star, sets, a, b), "links")
+        tested = star if tested is None else tested.unionByName(star)
+        links = new if links is None else links.unionByName(new)
+        comp = components(links)
+        if 2 * new.count() < star.count():
+            break
+
+    live = written(placed(lead, comp), "live")
     x, y = live.alias("x"), live.alias("y")
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _possible("x.", "y.", a, b) & _near("x.", "y.", a, b))
-    short = F.ceil(F.lit(a) * (F.col("x.n") + F.col("y.n")) / (a + b)) - F.greatest(F.col("x.n") - _prefix_length("x.", a, b), F.col("y.n") - _prefix_length("y.", a, b))
-    cross = cross.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("shared"), F.first(F.greatest(F.least("x.matches", "y.matches"), short)).alias("asked"))
-    cross = cross.where("shared >= asked").join(star, ["a", "b"], "left_anti")
-    cross = written(cross.select("a", "b"), "cross")
-    sets = near if cross.isEmpty() else written(sets_of(base, k, cross.select(F.explode(F.array("a", "b")).alias("sid")), members), "sets")
-    more = written(verified(cross, sets, a, b), "links")
-    # links of the second kind join components; those of the first kind stay
-    whole = components(links.unionByName(more))
-
-    named = members.drop("bits").join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
+    cross = cross.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    cross = written(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"), "cross")
+    discard(live, lead)
+    cross = written(asked_pairs(cross, found, a, b), "asked")
+    if not cross.isEmpty():
+        sets = more_sets(base, k, cross, sets, members)
+        more = written(verified(cross, sets, a, b), "links")
+        links = more if links is None else links.unionByName(more)
+    discard(found)
+
+    named = members.drop("bits")
+    if links is None:
+        named = named.withColumn("comp", F.when(F.col("n") > 0, F.col("sid")))
+    else:
+        named = named.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
     named = written(named, "named")
     least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     hot = named.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
