@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom
-from weftline.llm.common import BYTE_VALUES, Rolling, mix, signed, slices, text_bytes, written
+from weftline.llm.common import BYTE_VALUES, Rolling, discard, mix, signed, slices, text_bytes, written
 
 #: Parameters: bytes of a repeat at least, bytes that name an anchor, different contexts that one suffix array takes.
 LENGTH = 400
@@ -73,63 +73,56 @@ def _pieces(part: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.
             yield own, np.array([0, len(own)]), np.array([r]), np.array([lo - offs[r]])
 
 
-_RUN = "doc_id long, th long, p1 int, p2 int, gram long, h1 long, h2 long"
+_RUN = "doc_id long, th long, p1 int, p2 int, off int, gram long, h1 long, h2 long"
 
 
-def runs(docs: DataFrame, length: int) -> DataFrame:
-    """The anchors' runs of all documents, places within the document."""
+def runs(docs: DataFrame, length: int, grams: DataFrame | None = None) -> DataFrame:
+    """The anchors' runs of all documents, places within the document; off is the anchor's place in the run.
+
+    With ``grams`` runs of other anchors are left out before they are shuffled, as far as a bounded
+    Bloom filter tells them; the joins that follow are exact without it.
+    """
+    shared = None if grams is None else docs.sparkSession.sparkContext.broadcast(bloom.build(grams.select("gram")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 for raw, offs, rows, shift in _pieces(part, length):
                     f = anchors(raw, offs, length)
+                    if shared is not None and len(f["gram"]):
+                        hit = np.flatnonzero(bloom.holds(shared.value, f["gram"]))
+                        f = {k: v[hit] for k, v in f.items()}
                     own = pa.array(rows[f["row"]])
                     base = shift[f["row"]] - offs[f["row"]]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(own), part.column(1).take(own), *(pa.array((f[k] + base).astype(np.int32)) for k in ("p1", "p2")), *(pa.array(f[k]) for k in ("gram", "h1", "h2"))],
-                        ["doc_id", "th", "p1", "p2", "gram", "h1", "h2"],
+                        [part.column(0).take(own), part.column(1).take(own), *(pa.array((f[k] + base).astype(np.int32)) for k in ("p1", "p2")), pa.array((f["a"] - f["p1"]).astype(np.int32)), *(pa.array(f[k]) for k in ("gram", "h1", "h2"))],
+                        ["doc_id", "th", "p1", "p2", "off", "gram", "h1", "h2"],
                     )
 
     return docs.mapInArrow(run, _RUN)
 
 
-def shared_runs(found: DataFrame) -> DataFrame:
-    """Runs whose anchor stands in two runs or more, with ``dup`` (an equal run exists) and ``first`` (one of each equal runs).
+KEY = ["gram", "h1", "h2"]
 
-    Spark deals runs by anchor and sorts them; the scan over a sorted partition keeps two rows.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        known = 0
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if held is not None:
-                rows = pa.concat_tables([held, rows])
-            yield from _flagged(rows, known, False)
-            keep = min(2, rows.num_rows)
-            held, known = rows.slice(rows.num_rows - keep), keep - 1
-        if held is not None:
-            yield from _flagged(held, known, True)
-
-    return found.repartition("gram").sortWithinPartitions("gram", "h1", "h2").mapInArrow(run, _RUN + ", dup boolean, first boolean")
-
-
-def _flagged(rows: pa.Table, known: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Rows from the known-th on, but the last one, whose neighbours are all there; ``known`` rows were told before."""
-    gram, h1, h2 = (rows.column(k).to_numpy() for k in ("gram", "h1", "h2"))
-    near = np.zeros(rows.num_rows + 1, bool)
-    near[1:-1] = gram[1:] == gram[:-1]
-    same = near.copy()
-    same[1:-1] &= (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-    keep = near[:-1] | near[1:]
-    keep[:known] = False
-    if not last:
-        keep[-1:] = False
-    if keep.any():
-        out = rows.append_column("dup", pa.array(same[:-1] | same[1:])).append_column("first", pa.array(~same[:-1])).filter(pa.array(keep))
-        yield from out.combine_chunks().to_batches()
+def shared_contexts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(hulls, occurrences) of the anchors that stand in two runs or more.
+
+    A hull is a run's content, (gram, h1, h2): ``dup`` tells that it occurs twice or more, ``hulls``
+    how many different ones its anchor has, ``open`` how many of those occur once. Occurrences:
+    the runs of the hulls that repeat, or whose anchor has others and some that occur once. All
+    counts are aggregates with map-side combining, so that copies of one passage meet as counts; the
+    occurrences are joined back, where Spark splits the hot keys.
+    """
+    grams = written(runs(docs, length).groupBy("gram").count().where("count > 1").select("gram"), "anchors")
+    counted = written(runs(docs, length, grams).groupBy(*KEY).agg(F.count("*").alias("n")), "hulls")
+    by = counted.groupBy("gram").agg(F.count("*").alias("hulls"), F.count_if(F.col("n") == 1).alias("open"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    hulls = counted.join(by, "gram").select(*KEY, (F.col("n") > 1).alias("dup"), "hulls", ((F.col("hulls") > 1) & (F.col("open") > 0)).alias("mixed"))
+    hulls = written(hulls.where("dup or mixed"), "hulls")
+    discard(counted)
+    found = written(runs(docs, length, grams).join(hulls, KEY), "occurrences")
+    discard(grams)
+    return hulls, found
 
 
 def lcp(a: bytes, b: bytes) -> int:
@@ -188,98 +181,57 @@ def maximal_repeats(texts: list[bytes], offs: list[int], length: int) -> list[tu
     return out
 
 
-_CONTEXT = "gram long, h1 long, h2 long, kind int, dup boolean, doc_id long, th long, p1 int, off int, text binary"
+def contexts(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """(gram, h1, h2, dup, hulls, doc_id, th, p1, off, text): one occurrence of every hull of a mixed anchor, with its bytes."""
+    one = found.where("mixed").groupBy(*KEY, "dup", "hulls").agg(F.min(F.struct("doc_id", "th", "p1", "p2", "off")).alias("w"))
+    asked = one.groupBy(F.col("w.doc_id").alias("d"), F.col("w.th").alias("t")).agg(F.collect_list(F.struct(*KEY, "dup", "hulls", "w.p1", "w.p2", "w.off")).alias("asked"))
+    both = docs.join(asked, docs["doc_id"].eqNullSafe(asked["d"]) & (docs["th"] == asked["t"]))
+    cut = lambda x: F.substring(F.col("text").cast("binary"), x["p1"] + 1, x["p2"] - x["p1"] + length)
+    each = both.select("doc_id", "th", F.explode(F.transform("asked", lambda x: F.struct(x.alias("x"), cut(x).alias("text")))).alias("c"))
+    return each.select(*(F.col(f"c.x.{k}").alias(k) for k in (*KEY, "dup", "hulls")), "doc_id", "th", "c.x.p1", "c.x.off", "c.text")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The runs of the wanted anchors (and a few more) with their bytes; the texts are read again, rather than shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("gram")))
+_FOUND = "doc_id long, th long, start int, stop int, grp string, size int, dup boolean"
+_FOUND_PA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("grp", pa.string()), ("size", pa.int32()), ("dup", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            for part in slices(batch, 2):
-                for raw, offs, rows, shift in _pieces(part, length):
-                    f = anchors(raw, offs, length)
-                    hit = np.flatnonzero(bloom.holds(shared.value, f["gram"])) if len(f["gram"]) else []
-                    data, fresh = raw.tobytes() if len(hit) else b"", []
-                    for i, key in zip(hit, zip(f["h1"][hit].tolist(), f["h2"][hit].tolist())):
-                        if key not in seen:
-                            seen.add(key)
-                            fresh.append(i)
-                    if not fresh:
-                        continue
-                    i = np.array(fresh)
-                    own, m = pa.array(rows[f["row"][i]]), len(i)
-                    base = shift[f["row"][i]] - offs[f["row"][i]]
-                    body = pa.array([data[s:e] for s, e in zip(f["p1"][i].tolist(), (f["p2"][i] + length).tolist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(f[k][i]) for k in ("gram", "h1", "h2")), pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.bool_()), part.column(0).take(own), part.column(1).take(own), pa.array((f["p1"][i] + base).astype(np.int32)), pa.array((f["a"] - f["p1"])[i].astype(np.int32)), body],
-                        ["gram", "h1", "h2", "kind", "dup", "doc_id", "th", "p1", "off", "text"],
-                    )
-
-    return docs.mapInArrow(run, _CONTEXT)
 
+def repeat_groups(found: DataFrame, length: int) -> DataFrame:
+    """Occurrences of maximal repeats among the contexts of each anchor: (doc_id, th, start, stop, grp, size, dup).
 
-_FOUND = "doc_id long, th long, start int, stop int, grp string, size int, gram long, h1 long, h2 long, dup boolean, p1 int, off int, text binary"
-_FOUND_PA = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("grp", pa.string()), ("size", pa.int32()), ("gram", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("dup", pa.bool_()), ("p1", pa.int32()), ("off", pa.int32()), ("text", pa.binary())])
-
-
-def repeat_groups(hulls: DataFrame, found: DataFrame, length: int, most: int) -> DataFrame:
-    """Occurrences of maximal repeats among the contexts of each anchor: (doc_id, th, start, stop, grp, size).
-
-    An anchor with more than ``most`` different contexts is handed on instead: its rows have a
-    ``text`` and no ``start`` (see windows_by_halving). Memory holds that many contexts.
+    Memory holds the contexts of one anchor; the caller bounds their number.
     """
-    flags = hulls.select("gram", "h1", "h2", F.lit(0).alias("kind"), "dup", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("th", "long"), ("p1", "int"), ("off", "int"), ("text", "binary"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        gram, last, dup, over, rows = None, None, None, False, []
-
-        def handed(r: tuple) -> tuple:
-            return (r[5], r[6], None, None, None, None, *r[:3], r[4], r[7], r[8], r[9])
+        gram, last, rows = None, None, []
 
         def done() -> None:
             if len(rows) < 2:
                 return
-            for n, (left, right, members) in enumerate(maximal_repeats([r[9] for r in rows], [r[8] for r in rows], length)):
+            for n, (left, right, members) in enumerate(maximal_repeats([r[7] for r in rows], [r[6] for r in rows], length)):
                 name = f"{gram & 0xFFFFFFFFFFFFFFFF:016x}-{n}"
                 for i in members:
                     r = rows[i]
-                    at = r[7] + r[8]
-                    out.append((r[5], r[6], at - left, at + right, name, len(members), *r[:3], r[4], None, None, None))
+                    at = r[5] + r[6]
+                    out.append((r[3], r[4], at - left, at + right, name, len(members), r[2]))
 
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[0] != gram:
-                    if not over:
-                        done()
-                    gram, over, rows, dup, last = r[0], False, [], None, None
-                key = r[1:3]
-                if r[3] == 0:
-                    dup = (key, r[4])
-                    continue
-                if dup is None or dup[0] != key or last == key:
-                    continue
-                last = key
-                r = (*r[:4], dup[1], *r[5:])
-                if over:
-                    out.append(handed(r))
-                else:
-                    rows.append(r)
-                    if len(rows) > most:
-                        out += map(handed, rows)
-                        over, rows = True, []
+            for g, h1, h2, *r in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != gram:
+                    done()
+                    gram, rows, last = g, [], None
+                if last != (h1, h2):
+                    last = (h1, h2)
+                    rows.append((h1, h2, *r))
                 if len(out) >= 4096:
                     yield _out(out)
                     out.clear()
-        if not over:
-            done()
+        done()
         if out:
             yield _out(out)
 
-    return flags.unionByName(found).repartition("gram").sortWithinPartitions("gram", "h1", "h2", "kind").mapInArrow(run, _FOUND)
+    some = found.select(*KEY, "dup", "doc_id", "th", "p1", "off", "text")
+    return some.repartition("gram").sortWithinPartitions(*KEY).mapInArrow(run, _FOUND)
 
 
 def _out(rows: list[tuple]) -> pa.RecordBatch:
@@ -327,20 +279,18 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST_CONT
     """(spans, groups) for rows (doc_id, th, text): bytes in repeats, (doc_id, th, start, stop), and maximal repeat groups.
 
     ``groups``: (grp, size, doc_id, th, start, stop), every occurrence of every group, where an
-    occurrence stands for all runs of windows equal to its own (same h1, h2 in ``runs``).
+    occurrence stands for all runs of windows equal to its own (same h1, h2 in ``runs``); anchors with
+    more than ``most`` contexts have no groups, their repeats are told by windows_by_halving() alone.
     """
-    own = written(shared_runs(runs(docs, length)), "runs")
-    whole = own.where("dup").select("doc_id", "th", F.col("p1").alias("start"), (F.col("p2") + length).alias("stop"))
-    some = own.where("first")
-    mixed = some.groupBy("gram").agg(F.count("*").alias("hulls"), F.sum((~F.col("dup")).cast("int")).alias("open")).where("hulls > 1 and open > 0").select("gram")
-    mixed = written(mixed, "anchors")
-    hulls = some.join(mixed, "gram", "left_semi").select("gram", "h1", "h2", "dup")
-    found = written(repeat_groups(hulls, contexts(docs, mixed, length), length, most), "repeats")
-    groups = found.where("start is not null").select("grp", "size", "doc_id", "th", "start", "stop", "dup")
+    _, found = shared_contexts(docs, length)
+    whole = found.where("dup").select("doc_id", "th", F.col("p1").alias("start"), (F.col("p2") + length).alias("stop"))
+    cut = written(contexts(docs, found, length), "contexts")
+    groups = written(repeat_groups(cut.where(F.col("hulls") <= most), length), "repeats")
     spans = whole.unionByName(groups.where("not dup").select("doc_id", "th", "start", "stop"))
-    over = found.where("start is null")
+    over = cut.where(F.col("hulls") > most)
     if not over.isEmpty():
-        spans = spans.unionByName(windows_by_halving(over, length))
+        spans = spans.unionByName(windows_by_halving(over.dropDuplicates(KEY), length))
+    discard(cut)
     return spans, groups.drop("dup")
 
 
