@@ -148,6 +148,15 @@ def mix_sources(
 
 
 def taken_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as planned, with ``copy`` from 1; rows that repeat an id each as the most planned of them."""
-    p = plan.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return docs.join(p, docs["doc_id"].eqNullSafe(p["_id"])).drop("_id")
+    """The mix itself: the rows of docs, each as often as planned, with ``copy`` from 1; rows that repeat an id each as the most planned of them.
+
+    A column of docs that is called ``copy`` (in any case) stays, and the number is then called ``copy_``, and so on.
+    """
+    names = {c.lower() for c in docs.columns}
+    copy, key = "copy", "weftline_id"
+    while copy in names:
+        copy += "_"
+    while key in names:
+        key += "_"
+    p = plan.groupBy("doc_id").agg(F.max("copies").alias("n")).where("n > 0").select(F.col("doc_id").alias(key), F.explode(F.sequence(F.lit(1), "n")).alias(copy))
+    return docs.join(p, docs["doc_id"].eqNullSafe(p[key])).drop(key)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import bloom
 from weftline.llm.common import LOWER_VALUES, Rolling, signed, slices, text_bytes, written
 
 #: Fixed values of the base patterns; possessive parts only save backtracking.
@@ -28,11 +31,11 @@ MIN_SUPPORT = 3
 MIN_SHARE = 0.5
 MIN_BITS = 8.0
 #: Terms that one pass over the texts holds (8 bytes each); more are taken in further passes.
-BLOCK_TERMS = 500_000
+BLOCK_TERMS = 2_000_000
 
 TERM_BYTES = np.zeros(256, bool)
 TERM_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+TERM = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 ROLL = Rolling(0x9E6F2C3B5A7D1E43, LOWER_VALUES)
 
 
@@ -117,11 +120,9 @@ def contexts(docs: DataFrame) -> DataFrame:
                         continue
                     text = doc.decode("utf-8", "replace")
                     spans = base_spans(text)
-                    taken = [(s, e) for _, s, e in spans]
+                    bare = masked(text, merged(spans))
                     for kind, s, e in spans:
-                        before = _around(text[max(0, s - 400) : s], taken, max(0, s - 400))[-CONTEXT_WORDS:]
-                        after = _around(text[e : e + 400], taken, e)[:CONTEXT_WORDS]
-                        if words := before + after:
+                        if words := before(bare, s) + after(bare, e):
                             h = int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
                             who = int.from_bytes(hashlib.blake2b(f"{kind}:{text[s:e].lower()}".encode(), digest_size=8).digest(), "little", signed=True)
                             ent += [who] * len(words)
@@ -133,13 +134,52 @@ def contexts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "entity long, context long, term long")
 
 
-def _around(part: str, taken: list[tuple[int, int]], at: int) -> list[bytes]:
-    """Terms of three bytes or more of this part of the text that are in no protected span."""
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The union of (kind, start, end) spans as separate intervals in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def meets(taken: list[tuple[int, int]], s: int, e: int) -> bool:
+    """Whether the span meets one of the separate intervals in order."""
+    n = bisect_left(taken, (e, 0))
+    return n > 0 and taken[n - 1][1] > s
+
+
+def masked(text: str, taken: list[tuple[int, int]]) -> str:
+    """The text with blanks in place of the intervals."""
+    out, at = [], 0
     for s, e in taken:
-        lo, hi = max(s - at, 0), min(e - at, len(part))
-        if lo < hi:
-            part = part[:lo] + " " * (hi - lo) + part[hi:]
-    return [w for w in TERM.findall(part.encode("utf-8", "replace").lower()) if len(w) >= 3]
+        out += [text[at:s], " " * (e - s)]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def _terms(found: Iterator[re.Match]) -> Iterator[bytes]:
+    """Terms of three bytes or more, in lower case."""
+    return (w for w in (m.group().encode("utf-8", "replace").lower() for m in found) if len(w) >= 3)
+
+
+def before(text: str, at: int) -> list[bytes]:
+    """The last CONTEXT_WORDS terms before a place; looks back twice as far until there are as many whole ones."""
+    far = 128
+    while True:
+        lo = max(0, at - far)
+        found = (m for m in TERM.finditer(text, lo, at) if m.start() > lo or lo == 0)
+        words = list(_terms(found))[-CONTEXT_WORDS:]
+        if len(words) == CONTEXT_WORDS or lo == 0:
+            return words
+        far *= 2
+
+
+def after(text: str, at: int) -> list[bytes]:
+    """The first CONTEXT_WORDS terms after a place."""
+    return list(islice(_terms(TERM.finditer(text, at)), CONTEXT_WORDS))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
@@ -154,7 +194,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     found = written(contexts(docs).groupBy("entity", "context", "term").agg(F.count("*").alias("n")), "contexts")
     joint = found.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("joint")).where(F.col("support") >= MIN_SUPPORT)
     joint = written(joint, "joint")
-    candidates = joint.select("term").distinct()
+    candidates = written(joint.select("term").distinct(), "candidates")
     total = written(corpus_counts(docs, candidates), "terms")
     every = total.where("term is null").first()
     size = found.groupBy("entity").agg(F.sum("n").alias("near")).withColumn("corpus", F.lit(every["n"] if every else 0))
@@ -184,31 +224,28 @@ def _find(hashes: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 
 def corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n) over all texts for the given terms, and a row with a null term for all occurrences of any term."""
-    spark, out = docs.sparkSession, None
-    none = np.zeros(0, np.int64)
-    for i, block in enumerate([none, *blocks(terms)]):
-        if i == 1:
-            out = None
-        shared = spark.sparkContext.broadcast(block)
+    """(term, n) over all texts for the given terms, and a row with a null term for all occurrences of any term.
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=i <= 1) -> Iterator[pa.RecordBatch]:
-            block, counts, every = shared.value, np.zeros(len(shared.value), np.int64), 0
-            for batch in batches:
-                for part in slices(batch, 0):
-                    raw, offs = text_bytes(part.column(0))
-                    starts, ends = _term_bounds(raw, offs)
-                    every += len(starts)
-                    if len(block) and len(starts):
-                        h = _hashes(raw, starts, ends)
-                        counts += np.bincount(np.searchsorted(block, h[_find(h, block)]), minlength=len(block))
-            some = np.flatnonzero(counts)
-            ids = [*block[some].tolist(), *([None] if first else [])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([*counts[some].tolist(), *([every] if first else [])], pa.int64())], ["term", "n"])
-
-        part = docs.select("text").mapInArrow(run, "term long, n long")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("term").agg(F.sum("n").alias("n"))
+    One pass and one aggregate, however many terms: a task counts the terms of a slice of its texts,
+    leaves out what a bounded Bloom filter tells to be none of the given ones, and the join is exact.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = 0
+        for batch in batches:
+            for part in slices(batch, 0):
+                raw, offs = text_bytes(part.column(0))
+                starts, ends = _term_bounds(raw, offs)
+                every += len(starts)
+                if len(starts):
+                    found, n = np.unique(_hashes(raw, starts, ends), return_counts=True)
+                    some = bloom.holds(shared.value, found)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[some]), pa.array(n[some])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([every], pa.int64())], ["term", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counted.join(terms.withColumn("asked", F.lit(True)), "term", "left").where("asked or term is null").select("term", "n")
 
 
 def generalised(word: str) -> str:
@@ -257,9 +294,12 @@ def _hits(part: pa.RecordBatch, block: np.ndarray) -> tuple[bytes, list[int], li
     if len(block) and len(raw):
         starts, ends = _term_bounds(raw, offs)
         at = np.flatnonzero(_find(_hashes(raw, starts, ends), block))
-        for k, row in zip(at, np.searchsorted(offs, starts[at], "right") - 1):
-            lo = len(data[bounds[row] : starts[k]].decode("utf-8", "replace"))
-            found[row].append((lo, lo + len(data[starts[k] : ends[k]].decode("utf-8", "replace"))))
+        points = np.zeros(len(raw) + 1, np.int64)  # code points before each byte
+        np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
+        rows = np.searchsorted(offs, starts[at], "right") - 1
+        first = points[offs[rows]]
+        for row, lo, hi in zip(rows.tolist(), (points[starts[at]] - first).tolist(), (points[ends[at]] - first).tolist()):
+            found[row].append((lo, hi))
     return data, bounds, found
 
 
@@ -280,7 +320,8 @@ def _result(part: pa.RecordBatch, block: np.ndarray) -> pa.RecordBatch:
             continue
         text = doc.decode("utf-8", "replace")
         base = base_spans(text)
-        more = [(4, s, e) for s, e in sorted(found[i]) if not any(a < e and s < b for _, a, b in base)]
+        taken = merged(base)
+        more = [(4, s, e) for s, e in sorted(found[i]) if not meets(taken, s, e)]
         for k, _, _ in base + more:
             counts[k][i] += 1
         digest[i], spans[i] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)

@@ -21,8 +21,10 @@ COMMON = {
 #: The character classes, as what is taken out of a text one after the other; the rest is one more class.
 CLASSES = (("lower", "[a-z]+"), ("space", "[ \\t-\\r]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("point", "[.,;:!?'\"()-]+"), ("symbol", "[#*$%&|<>@=+~^/_{}\\[\\]]+"))
 
-#: Parameters: documents with fewer words are not compared, and the largest distances that pass.
+#: Parameters: documents with fewer words are not compared, nor those of a language of which fewer documents pass the
+#: counting rules (they would be their own reference), and the largest distances that pass.
 MIN_WORDS = 50
+MIN_DOCS = 20
 MAX_CHARS = 0.22
 MAX_WORDS = 0.3
 
@@ -114,15 +116,16 @@ def base_failed() -> Column:
 
 
 def references(feats: DataFrame) -> DataFrame:
-    """For each language (five at most) the pooled shares over all documents that pass the counting rules."""
+    """For each language (five at most) with MIN_DOCS documents that pass the counting rules, the pooled shares over all of them."""
     k, m = len(CLASSES), len(COMMON["en"])
     pooled = feats.where(~base_failed()).groupBy("lang").agg(
         F.array(*(F.sum(F.col("chars")[i]) for i in range(k))).alias("chars"),
         F.array(*(F.sum(F.col("common")[i]) for i in range(m))).alias("common"),
         F.sum("n_chars").alias("n_chars"),
         F.sum("n_words").alias("n_words"),
+        F.count("*").alias("docs"),
     )
-    return pooled.select("lang", shares(F.col("chars"), F.col("n_chars")).alias("ref_chars"), shares(F.col("common"), F.col("n_words")).alias("ref_words"))
+    return pooled.where(F.col("docs") >= MIN_DOCS).select("lang", shares(F.col("chars"), F.col("n_chars")).alias("ref_chars"), shares(F.col("common"), F.col("n_words")).alias("ref_words"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None, carry: bool = False) -> DataFrame:
@@ -131,7 +134,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     With ``carry`` the row itself comes along in a struct ``row``.
     A null text is empty, has no words and fails. Null and unknown languages share the reference
     'other'. A distance is null, and never rejects, below MIN_WORDS words or where there is no
-    reference (no document of the language passes the counting rules). Repeated rows give repeated
+    reference (fewer than MIN_DOCS documents of the language pass the counting rules). Repeated rows give repeated
     results; other columns are ignored. The references have five rows at most, one for each key of
     COMMON and 'other', so broadcasting them is safe at any size.
     """

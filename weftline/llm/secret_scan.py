@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -85,11 +86,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def added_spans(text: str, base: list[tuple[int, int, int]], allowed: re.Pattern) -> list[tuple[int, int, int]]:
     """Entropy spans outside the base ones and the allow-list: of each part of a candidate, the pieces that neither covers."""
-    out = []
+    out, taken = [], []
+    for s, _, e in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(taken[-1][1], e))
+        else:
+            taken.append((s, e))
+    n = 0
     for m in CANDIDATE.finditer(text):
+        while n < len(taken) and taken[n][1] <= m.start():
+            n += 1
         if allowed.fullmatch(m.group()):
             continue
-        near = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
+        near = list(takewhile(lambda t: t[0] < m.end(), islice(taken, n, None)))
         for part in PART.finditer(m.group()):
             if allowed.fullmatch(part.group()):
                 continue
