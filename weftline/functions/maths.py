@@ -99,3 +99,14 @@ def cover_crop(width: Column, height: Column, ratio: Column) -> Column:
     wide = width / height > ratio
     w, h = F.when(wide, F.round(height * ratio)).otherwise(width), F.when(wide, height).otherwise(F.round(width / ratio))
     return F.struct(((width - w) / 2).cast("int").alias("left"), ((height - h) / 2).cast("int").alias("top"), w.cast("int").alias("width"), h.cast("int").alias("height"))
+
+
+def rect_area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return F.greatest(F.lit(0.0), x1 - x0) * F.greatest(F.lit(0.0), y1 - y0)
+
+
+def padded(x0: Column, y0: Column, x1: Column, y1: Column, amount: float, width: Column, height: Column) -> Column:
+    """The box grown on all sides, kept on its page: struct(x0, y0, x1, y1)."""
+    return F.struct(
+        F.greatest(F.lit(0.0), x0 - amount).alias("x0"), F.greatest(F.lit(0.0), y0 - amount).alias("y0"), F.least(width, x1 + amount).alias("x1"), F.least(height, y1 + amount).alias("y1"),
+    )

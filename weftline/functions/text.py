@@ -97,16 +97,18 @@ def is_metadata(line: Column) -> Column:
     return unmarked(line).rlike(lex.AUTHOR) | unmarked(line).rlike(lex.DATE)
 
 
-def is_header(line: Column, following: Column) -> Column:
-    """The heading rules in order; the line is trimmed and not empty, ``following`` is the next raw line or null."""
+def header_rules(line: Column) -> Column:
+    """The heading rules that look at the line alone, in order: ``told``, null where none decides, and ``titled``, whether the line could head what follows.
+
+    The line is trimmed and not empty.
+    """
     n, rest = n_words(line), numbered_rest(line)
     low = cut_end(F.lower(line), ".")
     first = cut_end(F.regexp_extract(low, "^(\\S+)", 1), ".:,;")
     strong = first.isin(lex.STRONG_HEADINGS) | low.isin(lex.STRONG_HEADINGS)
     shout = line.rlike("\\p{Lu}") & ~line.rlike("\\p{Ll}") & (n <= 10) & (F.length(line) <= 90)
-    titled = (n <= 10) & (F.length(line) <= 90) & line.rlike("^\\p{Lu}") & ~line.rlike("[.,;!?]$")
-    leads = F.coalesce((following != "") & ((n_words(following) >= 4) | is_bullet(following)), F.lit(False))
-    return (
+    titled = (F.length(line) <= 90) & (n <= 10) & line.rlike("^\\p{Lu}") & ~line.rlike("[.,;!?]$")
+    told = (
         F.when(line.startswith(lex.HEADING_MARK), True)
         .when(is_caption(line) | is_bullet(line), False)
         .when(rest.isNotNull(), ~(rest.endswith(".") & (n_words(rest) > 5)) & (n_words(rest) <= 9))
@@ -114,8 +116,18 @@ def is_header(line: Column, following: Column) -> Column:
         .when(strong & (n <= 12) & (~line.endswith(".") | (n <= 5)), True)
         .when(line.rlike("^(?:Section|Chapter|Part|Module)"), True)
         .when(line.endswith(":") & (n <= 8), True)
-        .otherwise(titled & leads)
     )
+    return F.struct(told.alias("told"), titled.alias("titled"))
+
+
+def leads(following: Column) -> Column:
+    """Whether the next raw line can stand under a heading."""
+    return F.coalesce((following != "") & (is_bullet(following) | (n_words(following) >= 4)), F.lit(False))
+
+
+def is_header(line: Column, following: Column) -> Column:
+    """Whether a trimmed line that is not empty is a heading; ``following`` is the next raw line or null."""
+    return let(header_rules(line), lambda r: F.coalesce(r["told"], r["titled"] & leads(following)))
 
 
 def heading_text(line: Column) -> Column:
@@ -152,18 +164,19 @@ def pack(parts: Column, most: int = 220) -> Column:
 def label_of(point: Column) -> Column:
     """The label of a ``Label: text`` point, null where it has none or one that names only a variant."""
     raw = F.regexp_extract(point, "^([A-Z][A-Za-z0-9&/'\\-]*(?:[ ][A-Za-z0-9&/'\\-]+){0,5}):(?:\\s|$)", 1)
-    label = cut_both(squeeze(raw), " .:-")
-    bad = (label == "") | (F.size(tokens(label)) > lex.TITLE_WORDS) | F.lower(label).isin(lex.GENERIC_HEADINGS) | label.rlike(lex.VARIANT_LABEL)
-    return F.when(~bad, label)
+    bad = lambda x: (x == "") | (F.size(tokens(x)) > lex.TITLE_WORDS) | F.lower(x).isin(lex.GENERIC_HEADINGS) | x.rlike(lex.VARIANT_LABEL)
+    return let(raw, lambda r: F.when(r != "", let(cut_both(squeeze(r), " .:-"), lambda x: F.when(~bad(x), x))))
 
 
 def usable_title(x: Column, fallback: Column | None = None) -> Column:
     """A heading fit for a slide, cut to nine words; the fallback for a generic or empty one."""
     fallback = F.lit("") if fallback is None else fallback
-    t = cut_both(squeeze(x), " .:\\-#")
-    w = tokens(t)
-    short = cut_end(F.array_join(F.slice(w, 1, lex.TITLE_WORDS), " "), " ,;:")
-    return F.when((t == "") | F.lower(t).isin(lex.GENERIC_HEADINGS) | (F.size(w) == 0), fallback).when((F.size(w) > lex.TITLE_WORDS) | (F.length(t) > 90), short).otherwise(t)
+
+    def of(x: Column, w: Column) -> Column:
+        short = cut_end(F.array_join(F.slice(w, 1, lex.TITLE_WORDS), " "), " ,;:")
+        return F.when((x == "") | F.lower(x).isin(lex.GENERIC_HEADINGS) | (F.size(w) == 0), fallback).when((F.size(w) > lex.TITLE_WORDS) | (F.length(x) > 90), short).otherwise(x)
+
+    return let(cut_both(squeeze(x), " .:\\-#"), lambda v: let(tokens(v), lambda w: of(v, w)))
 
 
 PART_MARK = "(?:[—–-]\\s*Part\\s*\\d+|\\(\\d+\\))\\s*$"
@@ -172,12 +185,13 @@ PART_SUFFIX = "\\s*(?:\\(\\d+\\)|[—–-]\\s*Part\\s*\\d+)$"
 
 def clean_title(x: Column) -> Column:
     """Eight words at most, with a part marker kept."""
-    t = cut_end(squeeze(x), ".:;")
-    mark = F.trim(F.regexp_extract(t, PART_MARK, 0))
-    body = F.when(mark == "", t).otherwise(cut_end(F.trim(F.regexp_replace(t, PART_MARK, "")), ".:;"))
-    w = F.filter(F.split(body, " "), lambda s: s != "")
-    short = F.array_join(F.slice(w, 1, 8), " ")
-    return F.when(F.size(w) == 0, "Topic Overview").otherwise(F.when(mark == "", short).otherwise(F.concat(short, F.lit(" "), mark)))
+
+    def of(whole: Column, mark: Column) -> Column:
+        body = F.when(mark == "", whole).otherwise(cut_end(F.trim(F.regexp_replace(whole, PART_MARK, "")), ".:;"))
+        name = lambda w: F.when(F.size(w) == 0, "Topic Overview").otherwise(F.concat_ws(" ", F.array_join(F.slice(w, 1, 8), " "), F.nullif(mark, F.lit(""))))
+        return let(F.filter(F.split(body, " "), lambda s: s != ""), name)
+
+    return let(cut_end(squeeze(x), ".:;"), lambda v: let(F.trim(F.regexp_extract(v, PART_MARK, 0)), lambda m: of(v, m)))
 
 
 def base_heading(x: Column) -> Column:
@@ -301,3 +315,30 @@ def is_numbered_heading(x: Column) -> Column:
     named = x.rlike("(?i)^\\s*(?:chapter|section|part|module|unit|annex)\\s+[\\dIVXivx]+")
     rest = F.regexp_extract(x, "^\\s*(\\d{1,2}(?:\\.\\d{1,2})*)[.)]?\\s+(\\S.*)$", 2)
     return named | ((rest != "") & (n_words(rest) <= 9) & ~rest.endswith("."))
+
+
+def clean_point(x: Column) -> Column:
+    """A point without bold marks and rules; a stock line where nothing is left."""
+    out = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "\\*\\*(.*?)\\*\\*", "$1"), "[_\\-]{2,}", " "))
+    return F.coalesce(F.nullif(out, F.lit("")), F.lit("Key information point"))
+
+
+def preserve_structure(x: Column) -> Column:
+    """Pasted text with its lines: endings as \\n, no control characters."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "\r\n?", "\n"), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", ""))
+
+
+def strict_clean(x: Column) -> Column:
+    """Letters, digits, @ and single spaces only."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "[^a-zA-Z0-9\\s@]", ""), "\\s+", " "))
+
+
+def iso_time(x: Column) -> Column:
+    """A timestamp as ISO text, with microseconds only where there are some."""
+    micros = F.unix_micros(x.cast("timestamp")) % 1000000
+    return F.concat(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""))
+
+
+def document_summary(pages: Column, text: Column, front: Column, figures: Column) -> Column:
+    """One line that tells what was read."""
+    return F.format_string("%d pages, %d words of body text, %d words of front matter, %d visuals", pages, n_words(text), n_words(front), figures)

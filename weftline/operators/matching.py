@@ -54,6 +54,19 @@ def adjacent_similarity(rows: DataFrame, group: str, order: str, text: str) -> D
     return rows.withColumn("before", F.lag(text).over(w)).where(F.col("before").isNotNull()).withColumn("similarity", maths.similarity(F.col(text), F.col("before")))
 
 
+def earlier_duplicates(rows: DataFrame, group: str, order: str, text: str, least: float = 0.7) -> DataFrame:
+    """(group, order): rows whose text is more similar than ``least`` to that of any earlier row of their group, not of the one before alone.
+
+    Lengths are compared first: texts that differ by more than 1 - least in length cannot be so similar.
+    """
+    r = rows.select(group, order, F.lower(text).alias("t"))
+    a, b = r.alias("a"), r.alias("b")
+    n, m = F.length("a.t"), F.length("b.t")
+    near = F.least(n, m) > least * F.greatest(n, m) - 1
+    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"b.{order}") < F.col(f"a.{order}")) & near)
+    return pairs.where(maths.similarity(F.col("a.t"), F.col("b.t")) > least).select(F.col(f"a.{group}").alias(group), F.col(f"a.{order}").alias(order)).distinct()
+
+
 def top_slides(affinities: DataFrame, k: Column | int) -> DataFrame:
     """The k slides of a request with the largest affinity, the first of equals."""
     w = Window.partitionBy("request_id").orderBy(F.desc("affinity"), "pos")

@@ -56,19 +56,17 @@ def line_kind(raw: Column) -> Column:
     )
 
 
-def with_text(rows: DataFrame) -> DataFrame:
-    """Rows (raw, kind, none a table) with ``line``: marked and cleaned; empty where no word is left."""
-    kind, raw = F.col("kind"), F.col("raw")
+def marked_line(raw: Column, kind: Column) -> Column:
+    """A line that is not of a table, marked and cleaned; empty where no word is left. Each step is computed once."""
     body = (
         F.when(kind == "heading", F.regexp_extract(raw, ATX, 2)).when(kind == "marked", F.substring(raw, 4, 1 << 30)).when(kind == "quote", F.regexp_replace(raw, QUOTE, ""))
         .when(kind == "item", F.regexp_replace(raw, ITEM, "")).when(kind == "ordered", F.regexp_replace(raw, ORDERED, "")).when(kind == "caption", F.substring(raw, 3, 1 << 30)).otherwise(raw)
     )
     mark = F.when(kind.isin("heading", "marked"), lex.HEADING_MARK).when(kind == "item", lex.BULLET_MARK).when(kind == "caption", lex.CAPTION_MARK).otherwise("")
-    clean = rows.withColumn("body", clean_inline(body))
-    bare = F.trim(F.regexp_replace(F.when(kind == "caption", F.col("body")).otherwise(strip_decoration(F.col("body"))), "(?U)[^\\S\\n]+", " "))
-    clean = clean.withColumn("body", F.when(kind.isin("heading", "marked"), cut_both(bare, " .:\\-#")).otherwise(bare))
-    some = F.when(kind == "caption", F.col("body") != "").otherwise(F.col("body").rlike("[A-Za-z0-9]"))
-    return clean.withColumn("line", F.when(some, F.concat(mark, "body")).otherwise("")).drop("body")
+    bare = lambda b: F.trim(F.regexp_replace(F.when(kind == "caption", b).otherwise(strip_decoration(b)), "(?U)[^\\S\\n]+", " "))
+    cut = lambda b: F.when(kind.isin("heading", "marked"), cut_both(b, " .:\\-#")).otherwise(b)
+    some = lambda b: F.when(F.when(kind == "caption", b != "").otherwise(b.rlike("[A-Za-z0-9]")), F.concat(mark, b)).otherwise("")
+    return let(clean_inline(body), lambda b: let(bare(b), lambda c: let(cut(c), some)))
 
 
 def _cells(raw: Column) -> Column:
@@ -116,13 +114,16 @@ def normalise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Runs of table rows are islands of equal ``at - row_number``; a run's first row is its header.
     """
     rows = lines(docs, id_col, text_col).withColumn("kind", line_kind(F.col("raw")))
-    texts = with_text(rows.where("kind not in ('blank', 'table')")).select("doc_id", "at", "line", "kind")
+    # a filter on the line would repeat all its expressions; exploding the array of it, or of nothing, computes it once
+    some = F.filter(F.array(marked_line(F.col("raw"), F.col("kind"))), lambda x: x != "")
+    texts = rows.where("kind not in ('blank', 'table')").select("doc_id", "at", F.explode(some).alias("line"), "kind")
     by = Window.partitionBy("doc_id")
     cells = rows.where("kind = 'table'").withColumn("run", F.col("at") - F.row_number().over(by.orderBy("at"))).withColumn("cells", _cells(F.col("raw")))
     run = Window.partitionBy("doc_id", "run").orderBy("at")
     cells = cells.withColumn("n", F.row_number().over(run)).withColumn("header", F.first("cells").over(run))
-    bullets = cells.where(F.col("n") > 1).select("doc_id", "at", F.concat(F.lit(lex.BULLET_MARK), table_bullet(F.col("header"), F.col("cells"))).alias("line"), F.lit("table").alias("kind"))
-    out = texts.unionByName(bullets).where("line <> ''")
+    bullet = F.filter(F.array(F.concat(F.lit(lex.BULLET_MARK), table_bullet(F.col("header"), F.col("cells")))), lambda x: x.isNotNull())
+    bullets = cells.where(F.col("n") > 1).select("doc_id", "at", F.explode(bullet).alias("line"), F.lit("table").alias("kind"))
+    out = texts.unionByName(bullets)
     return out.select("doc_id", F.row_number().over(by.orderBy("at")).alias("line_no"), "line", "kind")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,10 @@ ZONE = 12
 def classified(marked: DataFrame) -> DataFrame:
     """Lines with ``following`` (the next one, before any is left out), ``meta``, ``header`` and ``header_alone``."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    return marked.withColumn("following", F.lead("line").over(w)).select(
-        "doc_id", "line_no", "line", "following",
-        t.is_metadata(F.col("line")).alias("meta"),
-        t.is_header(F.col("line"), F.col("following")).alias("header"),
-        t.is_header(F.col("line"), F.lit(None).cast("string")).alias("header_alone"),
+    told = marked.withColumn("following", F.lead("line").over(w)).withColumn("rules", t.header_rules(F.col("line")))
+    return told.select(
+        "doc_id", "line_no", "line", "following", t.is_metadata(F.col("line")).alias("meta"),
+        F.coalesce("rules.told", F.col("rules.titled") & t.leads(F.col("following"))).alias("header"), F.coalesce("rules.told", F.lit(False)).alias("header_alone"),
     )
 
 
@@ -89,9 +90,12 @@ def sections(rows: DataFrame, heads: DataFrame, drop_metadata: bool = True) -> D
     return out.where((F.size("points") > 0) & (F.col("heading") != F.col("title"))).drop("title")
 
 
-def structure(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, sections): title, subtitle, author and date of each document; and its sections."""
-    rows = classified(marked)
-    heads = titled(rows)
+def structure(marked: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> tuple[DataFrame, DataFrame]:
+    """(documents, sections): title, subtitle, author and date of each document; and its sections.
+
+    ``keep`` may write rows that are read several times and give them back.
+    """
+    rows = keep(classified(marked), "classified")
+    heads = keep(titled(rows), "heads")
     docs = heads.join(metadata(rows), "doc_id").select("doc_id", "title", "subtitle", "author", "date")
     return docs, sections(rows, heads)

@@ -10,11 +10,12 @@ from weftline.functions import text as t
 from weftline.operators import deck, matching, model_output, normalize, planner
 from weftline.operators.structure import structure
 from weftline.plans.inputs import kept, requests, table
+from weftline.plans.slot_queries import tokens_sql
 
 
 def _structured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    heads, sections = structure(kept(normalize.normalise(docs), "lines"))
+    heads, sections = structure(kept(normalize.normalise(docs), "lines"), kept)
     sections = kept(sections, "sections")
     asked = requests(docs).join(heads.select("doc_id", "title", "subtitle", F.col("author").alias("author_name")), "doc_id", "left")
     asked = asked.withColumn("title", F.coalesce("title", F.lit("Presentation"))).withColumn("author_email", F.lit(None).cast("string")).withColumnRenamed("doc_id", "request_id")
@@ -131,6 +132,13 @@ SQL = {
     "redistributed_points": """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS p, 2 + doc_id % 5 AS k FROM documents), r AS (SELECT *, unnest(range(0, k)) AS i, len(p) AS n FROM d),
     c AS (SELECT *, i * (n // k) + least(i, n % k) AS lo, (i + 1) * (n // k) + least(i + 1, n % k) AS hi FROM r)
     SELECT doc_id, CAST(i AS INTEGER) AS run, CAST(hi - lo AS INTEGER) AS n_points, coalesce(array_to_string(p[lo + 1:hi], chr(10)), '') AS points FROM c""",
+    "formatted_runs": r"""WITH r AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '(\*\*[^*]+\*\*|--[^-]+--|__[^_]+__)', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda p: p <> '')) AS p FROM documents),
+    s AS (SELECT doc_id, p, CASE WHEN length(p) <= 4 THEN 'plain' WHEN starts_with(p, '**') AND ends_with(p, '**') THEN 'bold' WHEN starts_with(p, '--') AND ends_with(p, '--') THEN 'highlight' WHEN starts_with(p, '__') AND ends_with(p, '__') THEN 'italic' ELSE 'plain' END AS style FROM r)
+    SELECT doc_id, style, count(*) AS n, CAST(sum(CASE WHEN style = 'plain' THEN length(p) ELSE length(p) - 4 END) AS BIGINT) AS chars FROM s GROUP BY ALL""",
+    "ranked_images": rf"""WITH t AS (SELECT *, dense_rank() OVER (PARTITION BY p_type ORDER BY p_brand) AS provider_pos, 600 + p_size * 20 AS w, 300 + p_partkey % 700 + p_size AS h, {tokens_sql("p_name")} AS a, {tokens_sql("p_type")} AS q FROM part),
+    s AS (SELECT p_type AS query, p_brand AS provider, p_partkey AS pos, provider_pos, (1 - CASE WHEN len(q) > 0 THEN len(list_intersect(a, q)) / len(q)::DOUBLE ELSE 0.0 END) + 0.35::DOUBLE * least(abs(w / h::DOUBLE - 1.5) / 1.5::DOUBLE, 2.0) AS score FROM t WHERE w >= 640 AND h >= 360),
+    o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, provider ORDER BY score, pos) = 1)
+    SELECT query, provider, pos, round(score, 9) AS score FROM o QUALIFY row_number() OVER (PARTITION BY query ORDER BY score, provider_pos) <= 2""",
     "colours": """WITH c AS (SELECT p_partkey, '#' || lpad(upper(to_hex((p_partkey * 2654435) % 16777216)), 6, '0') AS colour, (p_partkey * 2654435) % 16777216 AS v FROM part),
     x AS (SELECT *, v // 65536 AS r, (v // 256) % 256 AS g, v % 256 AS b FROM c)
     SELECT p_partkey, colour, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 6) AS luminance, CASE WHEN 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b < 140 THEN '#FFFFFF' ELSE '#000000' END AS contrast,

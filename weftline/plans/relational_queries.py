@@ -128,6 +128,8 @@ SQL = {
     "enclosing_headings": """SELECT user_id AS doc_id, event_id AS figure_no, coalesce(section, '') AS section FROM (SELECT user_id, event_id, event_type,
     last_value(CASE WHEN event_type <> 'purchase' THEN CAST(event_id AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) + CASE WHEN event_type = 'purchase' THEN 6 ELSE 0 END, event_type = 'purchase' ROWS UNBOUNDED PRECEDING) AS section FROM events) WHERE event_type = 'purchase'""",
     "durations": "SELECT event_id, round(CAST((user_id % 60) * 60 + event_id % 60 AS DOUBLE), 3) AS seconds FROM events",
+    "spaced_calls": """WITH c AS (SELECT event_type, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS sec, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) AS n FROM events)
+    SELECT event_id AS id, round(max(sec - n * 3.5::DOUBLE) OVER (PARTITION BY event_type ORDER BY n ROWS UNBOUNDED PRECEDING) + n * 3.5::DOUBLE - sec, 3) AS waited FROM c""",
     "running_share": "SELECT event_id, row_number() OVER w - 1 AS before, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "streamed_event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -11,6 +11,7 @@ from weftline.functions import text as t
 from weftline.operators import geometry, matching, normalize
 from weftline.operators.structure import structure
 from weftline.plans.inputs import kept, requests, table
+from weftline.plans.slot_queries import keywords_sql
 from weftline.sources.readers import html_text
 
 
@@ -124,6 +125,16 @@ SQL = {
     FROM (SELECT *, unnest(range(0, theory)) AS i FROM d WHERE theory > 0)""",
     "sentence_counts": r"""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')),
     '([.!?]) ([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), '([.!?]) ([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')) AS INTEGER) AS n_sentences FROM documents""",
+    "packed_sentences": r"""WITH l AS (SELECT doc_id, CAST(unnest(range(0, len(p))) AS INTEGER) AS line_no, unnest(p) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+    s AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(x, ''), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')),
+    '([.!?]) ([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), '([.!?]) ([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '') AS p FROM l),
+    j AS (SELECT doc_id, line_no, string_split(list_reduce(p, lambda a, s: CASE WHEN length(split_part(a, chr(2), -1)) + 1 + length(s) <= 220 THEN a || ' ' || s ELSE a || chr(2) || s END), chr(2)) AS q FROM s WHERE len(p) > 0)
+    SELECT doc_id, line_no, CAST(unnest(range(0, len(q))) AS INTEGER) AS pos, unnest(q) AS point FROM j""",
+    # DuckDB's edit distance counts bytes, so each accented letter first becomes one control character
+    "adjacent_turn_similarity": """WITH m AS (SELECT string_agg(chr(i), '' ORDER BY i) AS c FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30]) AS i)),
+    o AS (SELECT conv_id, turn, translate(text, 'äöüÄÖÜßéèêÉÈÊçÇíÍñÑóÓàáúô', c) AS text FROM conversations, m), t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM o)
+    SELECT conv_id, turn, round(greatest(0.0, 1 - levenshtein(text, b) / greatest(length(text), length(b), 1)::DOUBLE), 9) AS similarity FROM t WHERE b IS NOT NULL""",
+    "keyword_hints": f"WITH k AS (SELECT doc_id, {keywords_sql("coalesce(text, '')")} AS keywords FROM documents) SELECT doc_id, keywords, 'https://images.invalid/?q=' || replace(keywords, ' ', '+') AS url FROM k",
     "section_types": f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(?:{lex.PRACTICAL_SECTION})\\b') THEN 'practical' ELSE 'theory' END AS type FROM documents",
     "dates_found": f"SELECT doc_id, regexp_extract(text, '{_DATE}', 0) AS first_date FROM documents WHERE regexp_matches(text, '{_DATE}')",
     "contents_ratio": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
