@@ -35,8 +35,13 @@ def in_fence(marks: pd.Series) -> pd.Series:
     return marks.map(of)
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, raw): the lines of every text outside code fences, numbered from 0."""
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dealt: bool = False) -> DataFrame:
+    """(doc_id, at, raw): the lines of every text outside code fences, numbered from 0.
+
+    ``dealt`` shuffles the documents by id while they still are whole, for callers with windows by
+    document: what is computed for the lines is then spread evenly, however few splits the input
+    has, and those windows find the lines where they need them.
+    """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n|\r| ", "\n")
     split = docs.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("l"))
     marks = F.transform("l", lambda x: F.regexp_extract(x, "^\\s{0,3}(?:(`)`{2,}|(~)~{2,})", 1))
@@ -44,7 +49,11 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     fenced = F.exists("l", lambda x: x.rlike(FENCE))
     none = F.transform("l", lambda x: F.lit(False))
     inside = F.when(fenced, in_fence(F.zip_with(marks, tilde, lambda a, b: F.concat(a, b)))).otherwise(none)
-    both = split.select("doc_id", F.posexplode(F.arrays_zip(F.col("l").alias("raw"), inside.alias("inside"))).alias("at", "x"))
+    zipped = split.select("doc_id", F.arrays_zip(F.col("l").alias("raw"), inside.alias("inside")).alias("zipped"))
+    if dealt:
+        zipped = zipped.repartition("doc_id")
+    # a split text has one line at least; the outer form only spares a filter that would compute the array, and its Python, again
+    both = zipped.select("doc_id", F.posexplode_outer("zipped").alias("at", "x"))
     return both.where(~F.col("x.inside")).select("doc_id", "at", F.col("x.raw").alias("raw"))
 
 
@@ -113,7 +122,7 @@ def normalise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Runs of table rows are islands of equal ``at - row_number``; a run's first row is its header.
     """
-    rows = lines(docs, id_col, text_col).withColumn("kind", line_kind(F.col("raw")))
+    rows = lines(docs, id_col, text_col, dealt=True).withColumn("kind", line_kind(F.col("raw")))
     # a filter on the line would repeat all its expressions; exploding the array of it, or of nothing, computes it once
     some = F.filter(F.array(marked_line(F.col("raw"), F.col("kind"))), lambda x: x != "")
     texts = rows.where("kind not in ('blank', 'table')").select("doc_id", "at", F.explode(some).alias("line"), "kind")
