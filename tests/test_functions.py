@@ -47,3 +47,21 @@ def test_colours_and_durations(spark):
 def test_figure_score_thresholds(spark):
     s = lambda f, g: one(spark, maths.figure_score(F.col("f"), F.col("g")), f=f, g=g)
     assert s(["a", "b", "c"], ["a"]) == 0 and s(["a", "b", "c"], ["a", "b"]) > 0.9 and s(["a"], ["b"]) == 0
+
+
+def test_spaced_calls_agree_with_one_pass(spark):
+    """Any span gives the times of one pass over each key; nulls of key and time included."""
+    from weftline.operators.model_output import spaced
+
+    rows = [(i, ["a", "a", "b", None][i * 7 % 4], None if i % 40 == 0 else (i * 7919 % 3500) / 10 - 50) for i in range(600)]
+    calls = spark.createDataFrame(rows, "id long, key string, at double")
+    want = {}
+    for key in ("a", "b", None):
+        lead = None
+        mine = sorted(((at, i) for i, k, at in rows if k == key), key=lambda v: (v[0] is not None, v[0] or 0, v[1]))
+        for n, (at, i) in enumerate(mine, 1):
+            lead = lead if at is None else at - n * 3.5 if lead is None else max(lead, at - n * 3.5)
+            want[i] = None if lead is None else lead + n * 3.5
+    for span in (3600.0, 10.0):
+        assert {r.id: r.start for r in spaced(calls, 3.5, span).collect()} == want
+    assert spaced(calls.limit(0)).count() == 0

@@ -86,12 +86,25 @@ def first_answer(*providers: Column) -> Column:
     return F.coalesce(*(F.when(F.trim(p) != "", p) for p in providers))
 
 
-def spaced(calls: DataFrame, gap: float = 3.5) -> DataFrame:
-    """Start times of calls (key, at in seconds) that keep ``gap`` seconds from the one before: max over earlier of at + gap * steps."""
-    w = Window.partitionBy("key").orderBy("at", "id")
-    c = calls.withColumn("n", F.row_number().over(w))
-    before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return c.withColumn("start", F.max(F.col("at") - F.col("n") * gap).over(before) + F.col("n") * gap).drop("n")
+def spaced(calls: DataFrame, gap: float = 3.5, span: float = 3600.0) -> DataFrame:
+    """Start times of calls (key, at in seconds) that keep ``gap`` seconds from the one before: max over earlier of at + gap * steps.
+
+    A key may hold a third of all calls, so its calls are dealt by spans of ``span`` seconds: how
+    many calls and what greatest lead come before a span is a running sum and maximum over one
+    small row a key and span; the rest is done inside the spans. Any ``span`` gives the same times.
+    Calls without a time come first and start at null; a null key is a key.
+    """
+    # structs of keys compare nulls as equal, so that joins and windows share one partitioning
+    cell = ["_key", "_span"]
+    c = calls.withColumn("_key", F.struct("key")).withColumn("_span", F.struct(F.floor(F.col("at") / span).alias("s")))
+    inside = Window.partitionBy(*cell).orderBy("at", "id")
+    before = Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = c.groupBy(*cell).agg(F.count("*").alias("_n"))
+    counts = counts.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    c = c.join(counts, cell).withColumn("_n", F.col("_base") + F.row_number().over(inside)).withColumn("_lead", F.col("at") - F.col("_n") * gap)
+    tops = c.groupBy(*cell).agg(F.max("_lead").alias("_top")).select(*cell, F.max("_top").over(before).alias("_carry"))
+    held = F.greatest("_carry", F.max("_lead").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return c.join(tops, cell).withColumn("start", held + F.col("_n") * gap).select(*calls.columns, "start")
 
 
 def keyed(prompts: DataFrame) -> DataFrame:
