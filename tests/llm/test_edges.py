@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from weftline.llm import decontaminate, jaccard_join, license_scan, mixing, pii, quality_crf, quality_rules, secret_scan, suffix_dedup, warc
+from weftline.llm.common import looked_up
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sid long, token string, component_id int, block int, th long, p double, kept string, term string"
 LONG = "word other thing " * 40_000
@@ -88,3 +89,21 @@ def test_pipeline_stages(spark):
             assert stage(spark, d, "/root/testdata/sf0.001").columns == docs.columns
     assert corpus_pipeline.mix(spark, docs.limit(0), "").collect() == []
     assert corpus_pipeline.mix(spark, docs, "").count() > 0
+
+
+def test_a_key_of_most_rows_is_looked_up(spark):
+    rows = spark.createDataFrame([(i, None if i % 10 == 0 else 7 if i % 3 else i) for i in range(300)], "id long, k long")
+    small = spark.createDataFrame([(k, f"v{k}") for k in (3, 7, 9)], "k long, v string")
+    want = sorted((r.id, r.k, r.v) for r in rows.join(small, "k", "left").select("id", "k", "v").collect())
+    key = lambda t: t[0]
+    for least in (20, 10_000):
+        assert sorted((tuple(r) for r in looked_up(rows, "k", small, least).select("id", "k", "v").collect()), key=key) == sorted(want, key=key)
+    assert looked_up(rows.limit(0), "k", small).collect() == []
+
+
+def test_hot_payload(spark, tmp_path):
+    """One payload with most of the pages: all but the largest id revisit it."""
+    big = "<p>" + "x" * 1500 + "</p>"
+    df = spark.createDataFrame([(i, f"http://h/{i}", big if i % 4 else f"{i}") for i in range(400)], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.pages_through_warc(df, f"file://{tmp_path}/hot").collect()}
+    assert got == {i: ("response", None) if i % 4 == 0 or i == 399 else ("revisit", 399) for i in range(400)}

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACES = np.zeros(256, bool)
@@ -48,6 +49,23 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def looked_up(rows: DataFrame, key: str, small: DataFrame, least: int = 10_000) -> DataFrame:
+    """Left join of rows with ``small``, one row a ``key``; no key's rows meet in one task, however many there are.
+
+    Hot keys have more than a thousandth of all keyed rows and more than ``least`` rows, so at most a
+    thousand keys are hot: their rows of ``small`` are broadcast. All other rows are shuffled by
+    key, or stay where they are if they have none. Both inputs are read more than once.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("n") > max(least, total // 1000)).select(key).collect()]
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    keyed = rows.where(F.col(key).isNotNull() & ~is_hot).join(small.where(~is_hot), key, "left")
+    new = [F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema if f.name != key]
+    out = keyed.unionByName(rows.where(F.col(key).isNull()).select("*", *new))
+    return out.unionByName(rows.where(is_hot).join(F.broadcast(small.where(is_hot)), key, "left")) if hot else out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

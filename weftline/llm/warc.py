@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import looked_up, written
 
 #: Fixed values of the format.
 CRLF, END, START = "\r\n", "\r\n\r\n", "\r\n\r\nWARC/1."
@@ -188,8 +188,9 @@ def pages_through_warc(pages: DataFrame, path: str) -> DataFrame:
     """Write the pages as archives under ``path``, read them back, assemble captures, and resolve revisits.
 
     (page_id, payload_bytes, payload_digest, record_type, refers_to) for each page: refers_to is the
-    page id of the record that a revisit names, found among the captures read. Of pages that repeat
-    the largest id of a payload each is a response.
+    page id of the record that a revisit names, found among the captures read; one response may be
+    named by any share of all revisits. Of pages that repeat the largest id of a payload each is a
+    response. An empty table gives no rows. A payload is one string in one task, so at most 2 GB.
     """
     write_warc(pages, path)
     captures = assemble(read_warc(pages.sparkSession, path, payloads=False))
@@ -197,5 +198,5 @@ def pages_through_warc(pages: DataFrame, path: str) -> DataFrame:
         captures.where("main is not null").select(F.expr("nullif(metadata[0].fields['page-id'], '')").cast("long").alias("page_id"), F.explode("mains").alias("m")).select("page_id", "m.record_id", "m.type", "m.payload_bytes", "m.payload_digest", "m.refers_to"),
         "captures",
     )
-    stored = flat.where("type = 'response'").groupBy(F.col("record_id").alias("stored")).agg(F.max("page_id").alias("target"))
-    return flat.join(stored, flat["refers_to"] == stored["stored"], "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("target").alias("refers_to"))
+    stored = flat.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("target"))
+    return looked_up(flat, "refers_to", stored).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("target").alias("refers_to"))
