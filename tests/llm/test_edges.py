@@ -107,3 +107,11 @@ def test_hot_payload(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://h/{i}", big if i % 4 else f"{i}") for i in range(400)], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.pages_through_warc(df, f"file://{tmp_path}/hot").collect()}
     assert got == {i: ("response", None) if i % 4 == 0 or i == 399 else ("revisit", 399) for i in range(400)}
+
+
+def test_no_record_is_lost_between_read_buffers(spark, tmp_path):
+    """Records with empty or CRLF-ending bodies, so many that their ends fall on the ends of the reader's buffers."""
+    df = spark.range(0, 40_000, 1, 2).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "CASE WHEN id % 3 > 0 THEN repeat('\\r\\n', int(id % 7)) END AS html")
+    got = warc.pages_through_warc(df, f"file://{tmp_path}/many").selectExpr("count(*)", "count(DISTINCT page_id)", "sum(payload_bytes)").first()
+    want = sum(2 * (i % 7) for i in range(40_000) if i % 3)
+    assert tuple(got) == (40_000, 40_000, want)

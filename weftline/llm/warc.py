@@ -110,13 +110,26 @@ def parse(record: bytes, payloads: bool) -> tuple:
     return (names.get("warc-record-id"), kind, conc, names.get("warc-refers-to"), names.get("warc-target-uri"), names.get("warc-date"), names.get("warc-payload-digest"), size, sha, fields, body if payloads else None)
 
 
+def record_size(piece: bytes) -> int | None:
+    """Bytes of the record that a piece begins with, by its Content-Length (all without one); null if the piece ends before."""
+    head = piece.find(b"\r\n\r\n")
+    if head < 0:
+        return None
+    low = piece[:head].lower()
+    at = low.find(b"\r\ncontent-length:")
+    size = head + 4 + int(low[at + 17 :].split(b"\r\n")[0]) if at >= 0 else len(piece)
+    return size if size <= len(piece) else None
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records of the archives under ``path`` (RECORD); ``payloads`` false leaves bodies out, not their digests.
 
     Spark's text reader streams a gzip archive, of any size and with one or many members, cut where
     a record seems to begin; a piece shorter than its Content-Length was cut inside its body and
-    takes the next pieces of the same file, which follow it in the same task. Memory holds one
-    record and one Arrow batch. Digests are of the bytes read, for revisits as declared.
+    takes the next pieces of the same file, which follow it in the same task. The text reader may miss
+    a cut where its buffer ends inside CRLFs, so a piece that goes on after its Content-Length with
+    another record is read on. Archives must be compressed by gzip, which Spark never splits. Memory
+    holds one record and one Arrow batch. Digests are of the bytes read, for revisits as declared.
     """
     pieces = spark.read.option("lineSep", START).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
 
@@ -132,17 +145,16 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     piece = held + START.encode() + piece
                 elif not piece.startswith(b"WARC/1."):
                     piece = b"WARC/1." + piece
-                file = name
-                head = piece.find(b"\r\n\r\n")
-                low = piece[:head].lower()
-                at = low.find(b"\r\ncontent-length:")
-                need = int(low[at + 17 :].split(b"\r\n")[0]) if at >= 0 else 0
-                if head < 0 or len(piece) - head - 4 < need:
-                    held = piece
-                    continue
-                held = b""
-                rows.append(parse(piece, payloads))
-                weight += len(piece) if payloads else 200
+                held, file = b"", name
+                while piece:
+                    size = record_size(piece)
+                    if size is None:
+                        held = piece
+                        break
+                    rows.append(parse(piece[:size], payloads))
+                    weight += size if payloads else 200
+                    rest = piece[size:]
+                    piece = rest[len(END) :] if rest.startswith(START.encode()) else b""
                 if len(rows) >= 2000 or weight > 1 << 23:
                     yield _batch(rows)
                     rows, weight = [], 0
