@@ -42,10 +42,26 @@ def ranked_candidates(candidates: DataFrame, keep: int = 2) -> DataFrame:
 
 
 def best_text_per_item(items: DataFrame, texts: DataFrame, item: str = "item_id", doc: str = "doc_id") -> DataFrame:
-    """(item, doc, shared): for each item the text that shares most distinct words, the least id of equals; an inverted join on words."""
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
-    shared = words(items, item).join(words(texts, doc), "w").groupBy(item, doc).agg(F.count("*").alias("shared"))
-    return shared.withColumn("r", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("shared"), doc))).where("r = 1").drop("r")
+    """(item, doc, shared): for each item the text that shares most distinct words, the least id of equals.
+
+    Texts that hold the item's rarest word give a number of shared words that is reached for sure.
+    A text that shares as many of the item's n words holds one of its n - shared + 1 rarest, so only
+    those words make candidates, and common words meet no text. Ids identify rows on both sides.
+    """
+    words = lambda df, key: df.select(key, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("words"))
+    i, t = words(items, item).where("size(words) > 0"), words(texts, doc).where("size(words) > 0")
+    asked = i.select(item, F.explode("words").alias("w"))
+    held = t.select(doc, F.explode("words").alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    rank = F.row_number().over(Window.partitionBy(item).orderBy("n", "w"))
+    ranked = asked.join(held.groupBy("w").agg(F.count("*").alias("n")), "w").select(item, "w", rank.alias("r"), F.count("*").over(Window.partitionBy(item)).alias("of"))
+
+    def shared(keys: DataFrame) -> DataFrame:
+        pairs = keys.join(held, "w").select(item, doc).distinct()
+        return pairs.join(i, item).join(t.withColumnRenamed("words", "theirs"), doc).select(item, doc, F.size(F.array_intersect("words", "theirs")).cast("long").alias("shared"))
+
+    sure = shared(ranked.where("r = 1")).groupBy(item).agg(F.max("shared").alias("sure"))
+    best = shared(ranked.join(sure, item).where("r <= of - sure + 1"))
+    return best.groupBy(item).agg(F.min_by(F.struct(doc, "shared"), F.struct(-F.col("shared"), F.col(doc))).alias("m")).select(item, "m.*")
 
 
 def adjacent_similarity(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:

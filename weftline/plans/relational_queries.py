@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import duration_seconds
 from weftline.operators import catalog, geometry, model_output
-from weftline.plans.inputs import table
+from weftline.plans.inputs import scratch, table
+from weftline.streaming import stream
 
 
 def latest_event_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,16 +96,17 @@ def running_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts by a stream over the events, taken once; the last state of each window."""
-    from weftline.plans.inputs import scratch
+    """Hourly counts by a stream over the events, taken once: each batch adds the windows it changed, and the last state of a window counts.
 
-    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    rows = e.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counted = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    The watermark lets the stream forget windows that are over.
+    """
+    e = stream.document_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)
+    counted = stream.events_per_window(e.withColumn("ts", F.col("ts").cast("timestamp")))
     out = f"{scratch(spark)}/weftline-stream-{uuid.uuid4().hex}"
-    write = lambda batch, n: batch.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n").write.mode("overwrite").parquet(f"{out}/rows")
-    counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+    counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 QUERIES = [

@@ -1,8 +1,7 @@
-"""Sources: texts, files, HTML pages, Word documents, PDF where a reader is installed, and model answers."""
+"""Sources: texts, files, HTML pages, Word documents, and model answers."""
 
 from __future__ import annotations
 
-import importlib.util
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -12,8 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HAS_PDF = importlib.util.find_spec("pymupdf") is not None
-
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, suffix, asset_key, content): any files, addressed by their content."""
@@ -69,25 +66,6 @@ def docx_lines(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.where(~style.startswith("toc")).select("path", "ordinal", line.alias("line"))
 
 
-def read_pdf(files: DataFrame) -> DataFrame:
-    """(path, page, line_no, text, y0, y1, font_size, bold) of the .pdf files; no rows where no PDF reader is installed."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["path", "page", "line_no", "text", "y0", "y1", "font_size", "bold"]
-        for pdf in batches:
-            rows = []
-            if HAS_PDF:
-                import pymupdf
-
-                for path, content in zip(pdf.path, pdf.content):
-                    for n, page in enumerate(pymupdf.open(stream=content, filetype="pdf")):
-                        spans = [(ln["bbox"], ln["spans"]) for b in page.get_text("dict")["blocks"] for ln in b.get("lines", []) if ln["spans"]]
-                        rows += [(path, n, i, "".join(s["text"] for s in ss).strip(), b[1], b[3], max(s["size"] for s in ss), any(s["flags"] & 16 for s in ss)) for i, (b, ss) in enumerate(spans)]
-            yield pd.DataFrame(rows, columns=cols)
-
-    return files.where("suffix = '.pdf'").select("path", "content").mapInPandas(run, "path string, page int, line_no int, text string, y0 double, y1 double, font_size double, bold boolean")
-
-
 def html_text(html: Column) -> Column:
     """A page's text: scripts, styles, comments and tags go; block ends become line feeds; five entities are read."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->", " ")

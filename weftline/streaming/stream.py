@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftline.operators.structure import structure
 
 
-def document_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def document_stream(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Rows of Parquet files as they arrive under a path or pattern."""
     return spark.readStream.schema(schema).parquet(path)
 
 
