@@ -18,7 +18,7 @@ from weftline.llm.common import slices
 #: Tokens of a window; the id that ends every document.
 WINDOW, END = 2048, 1
 #: Text bytes whose documents a task packs together; a longer text goes alone.
-GROUP_BYTES = 1 << 25
+GROUP_BYTES = 1 << 24
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -137,21 +137,31 @@ class WordIds:
         words = split.flatten().dictionary_encode()
         plain = pc.and_(pc.string_is_ascii(words.dictionary), pc.invert(pc.match_substring(words.dictionary, SPECIAL)))
         keys = pc.if_else(plain, pc.ascii_lower(words.dictionary), words.dictionary).dictionary_encode()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(keys.dictionary.to_pylist(), add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum())
-        starts = np.cumsum(sizes) - sizes
+        sizes, flat = self.encoded(keys.dictionary)
         codes = keys.indices.to_numpy()[words.indices.to_numpy()]
-        per_word = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(per_word)])
-        # the ids of the words, one after the other: a run of places for each word
-        places = np.repeat(starts[codes] - ends[:-1], per_word) + np.arange(ends[-1])
+        starts = np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
         bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         out = np.full(ends[-1] + len(texts), END, np.uint32)
-        own = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        out[np.arange(ends[-1]) + own] = flat[places]
+        free, keep = np.empty(ends[-1], np.uint32), np.ones(len(out), bool)
+        keep[bounds[1:] + np.arange(len(texts))] = False
+        for lo in range(0, len(codes), 1 << 18):
+            # the ids of some words, one after the other: a run of places for each word
+            own, at = codes[lo : lo + (1 << 18)], ends[lo : lo + (1 << 18) + 1]
+            places = np.repeat(starts[own] - at[:-1], sizes[own]) + np.arange(at[0], at[-1])
+            free[at[0] : at[-1]] = flat[places]
+        out[keep] = free
         return out, bounds + np.arange(len(texts) + 1)
 
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them; some words at a time, as encodings are large."""
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for lo in range(0, len(words), 1 << 12):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(lo, 1 << 12).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, sizes[-1].sum()))
+        return np.concatenate(sizes), np.concatenate(flat)
+
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """A row a piece of a document: (doc_id, start, length, ids, doc_tokens, sequence_id, offset), ids as little-endian unsigned 32-bit integers.
