@@ -142,20 +142,27 @@ def test_query_digests_and_sequences(spark):
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.lists(st.tuples(st.binary(max_size=4), st.sampled_from("ab")), max_size=20), min_size=1, max_size=4), st.binary(max_size=2), st.binary(max_size=2))
-def test_tries_merge_and_read_in_order(parts, low, high):
-    whole, want = tries.Trie(), Counter()
-    for part in parts:
-        own = tries.Trie()
-        for term, key in part:
-            tries.add(own.at(term), {key: (1, 1)})
-            want[term, key] += 1
-        whole.merge(own)
-    got = list(whole.leaves())
-    assert [t for t, _ in got] == sorted({t for t, _ in want})
-    assert {(t, k): n for t, c in got for k, (n, _) in c.items()} == dict(want)
-    assert [t for t, _ in whole.leaves(low, high)] == [t for t, _ in got if low <= t < high]
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.text("abé日🙂", max_size=5), st.integers(0, 2), st.integers(1, 3)), max_size=30), min_size=1, max_size=4), st.integers(1, 6), st.integers(0, 3))
+def test_tries_merge_and_read_in_order(parts, burst, deepest):
+    """However early containers burst and however deep, merged tries hold all counters and are read in the order of bytes."""
+    before = tries.BURST, tries.DEEPEST
+    tries.BURST, tries.DEEPEST = burst, deepest
+    try:
+        whole, want = tries.Trie(), Counter()
+        for part in parts:
+            own = tries.Trie()
+            for lo in range(0, len(part), 7):
+                some = part[lo : lo + 7]
+                own.add(tries.Leaves.of(pa.array([t for t, *_ in some], pa.large_string()), np.arange(len(some)), *np.array([(s, n, 1) for _, s, n in some]).T))
+                want.update({(t, s): 0 for t, s, _ in some})
+            for t, s, n in part:
+                want[t, s] += n
+            whole.merge(own)
+        got = [(c.terms[int(p)].as_py(), int(s), int(n)) for c in whole.containers() for p, s, n in zip(c.place, c.source, c.n)]
+    finally:
+        tries.BURST, tries.DEEPEST = before
+    assert [g[:2] for g in got] == sorted(want, key=lambda k: (k[0].encode(), k[1])) and {g[:2]: g[2] for g in got} == dict(want)
 
 
 def plain_divergence(rows, least):
@@ -199,7 +206,7 @@ def test_chunks_blocks_and_full_tries(spark, monkeypatch):
     """What bounds memory changes nothing: few terms a chunk, few sources a block, tries sent on early."""
     rows = [(f"common w{chr(97 + i % 26)} {chr(97 + i % 7)}x", "en", f"s{i % 9}") for i in range(200)]
     groups = pa.table({"lang": ["en"] * 5, "source": list("abcde"), "n": [3, 4, 5, 6, None], "v": [3] * 5})
-    terms = pa.table({"term": ["x", "y", "z"], "sources": [["a", "b"], ["c"], ["d", "a"]], "n": [[1, 4], [5], [6, 2]], "place": [0, 1, 2]})
+    terms = pa.table({"term": ["x", "y", "z"], "sources": [["a", "b"], ["c"], ["d", "a"]], "n": [[1, 4], [5], [6, 2]]})
     one = sorted(r for t in divergence.compared(terms, groups) for r in map(str, t.to_pylist()))
     monkeypatch.setattr(divergence, "SOURCES", 2)
     assert sorted(r for t in divergence.compared(terms, groups) for r in map(str, t.to_pylist())) == one
