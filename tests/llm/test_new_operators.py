@@ -103,7 +103,7 @@ def test_equal_lengths_are_cut(spark):
 
 def test_packing_keeps_every_id(spark):
     """The query on a whole table, and texts where cutting into words could matter."""
-    odd = ["don't stop.'s x,'ll A.B (c)d", "H̱ ẖ İ K é .́ ,̸x", "<|endoftext|> <|ENDOFTEXT|> a.<|startoftext|>b <|", "  \x1c\x85nbsp\x0b\x0c\r\n", "1,234.5!?)z", "", None, "日本語。テキスト、", "🙂👍🏽! ﬁne", "w " * 9000]
+    odd = ["don't stop.'s x,'ll A.B (c)d", "H̱ ẖ İ K é .́ ,̸x", "<|endoftext|> <|ENDOFTEXT|> a.<|startoftext|>b <|", "  \x1c\x85nbsp\x0b\x0c\r\n", "1,234.5!?)z", "é,ß&&&ÿ%% ɏ#1$́ ø*̸", "", None, "日本語。テキスト、", "🙂👍🏽! ﬁne", "w " * 9000]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(odd)] + [(None, "no id"), (3, "again")], "doc_id long, text string")).withColumn("ids", docs["doc_id"])
     texts = defaultdict(list)

@@ -18,7 +18,7 @@ from weftline.llm.common import slices
 #: Tokens of a window; the id that ends every document.
 WINDOW, END = 2048, 1
 #: Text bytes whose documents a task packs together; a longer text goes alone.
-GROUP_BYTES = 1 << 24
+GROUP_BYTES = 1 << 25
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -111,8 +111,8 @@ def powers(sequence: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int
         yield out
 
 
-#: Between these, a pre-tokenizer that separates letters and digits from signs cuts anyway, whatever follows.
-SIGNS = ("([A-Za-z0-9])([.,;:!?)])", r"\1 \2")
+#: Between a letter or digit and a sign, a pre-tokenizer that separates them cuts anyway, whatever follows.
+SIGNS = ("([A-Za-z0-9À-ÖØ-öø-ɏ])([.,;:!?)#$%&*])", r"\1 \2")
 #: What special tokens begin with: words that hold it are encoded as they are written.
 SPECIAL = "<|"
 
