@@ -1,4 +1,4 @@
-from weftline.operators import catalog, geometry, matching
+from weftline.operators import catalog, figures, geometry, matching
 
 
 def test_chain_order_and_builtin(spark):
@@ -30,4 +30,4 @@ def test_each_figure_once(spark):
 
 def test_boxes_merge(spark):
     r = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 10.0, 1), (1, 0, 20.0, 0.0, 30.0, 10.0, 1), (1, 0, 100.0, 0.0, 110.0, 10.0, 1)], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, items long")
-    assert sorted((x.x0, x.x1, x["items"]) for x in geometry.rect_clusters(r).collect()) == [(0.0, 30.0, 2), (100.0, 110.0, 1)]
+    assert sorted((x.x0, x.x1, x["items"]) for x in figures.rect_clusters(r).collect()) == [(0.0, 30.0, 2), (100.0, 110.0, 1)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import duration_seconds
-from weftline.operators import catalog, geometry, model_output
+from weftline.operators import catalog, figures, geometry, model_output
 from weftline.plans.inputs import scratch, table
 from weftline.streaming import stream
 
@@ -74,7 +74,7 @@ def rect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_partkey") % 600, F.col("l_suppkey") % 800
     boxes = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + F.col("l_quantity")).cast("double").alias("x1"), (y + F.col("l_quantity")).cast("double").alias("y1"), F.lit(1).cast("long").alias("items"))
-    return geometry.rect_clusters(boxes)
+    return figures.rect_clusters(boxes).drop("first")
 
 
 def spaced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
