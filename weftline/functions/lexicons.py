@@ -46,6 +46,7 @@ DATE = (
     "|\\b\\d{1,2}[/.-]\\d{1,2}[/.-]\\d{2,4}\\b|\\b\\d{4}\\b"
 )
 AUTHOR = "(?i)^\\s*(?:by|presented\\s+by|written\\s+by|prepared\\s+by|reported\\s+by|author[s]?:?)\\s*:?\\s+(.+)$"
+NOTHING_SAID = "Summary of the source content."
 CAPTION = "(?i)^\\s*(figure|fig\\.?|abbildung|tabelle|table|chart|diagram|exhibit|graph|scheme|plate|image|listing|schaubild|diagrama|figura)\\s*[\\d]+(?:[.\\-][\\d]+)*\\s*[.:)\\-–—]?\\s+"
 VARIANT_LABEL = (
     "(?i)^(?:model|option|variant|alternative|approach|method|phase|step|stage|type|version|tier|level|scenario|case|column|row|item|point|part)\\s*(?:[0-9]+|[IVXLC]+|[a-z]|[0-9]+\\.[0-9]+)$"

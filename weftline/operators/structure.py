@@ -64,18 +64,18 @@ def titled(rows: DataFrame) -> DataFrame:
 def sections(rows: DataFrame, heads: DataFrame, drop_metadata: bool = True) -> DataFrame:
     """(doc_id, section_no, heading, type, points): headings open sections (gaps and islands), captions close them.
 
-    Lines before the first heading are 'Overview', or all there is if the document has no heading.
-    Sections without points, or headed like the title, are left out; numbers keep the gaps.
+    Lines before the first heading are 'Overview', or all there is if the document has no heading,
+    with a stock line if it says nothing else. Sections without points, or headed like the title,
+    are left out; numbers keep the gaps.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    body = rows.join(heads.select("doc_id", "title", "title_at", "subtitle_at"), "doc_id").where(
-        (~F.col("meta") if drop_metadata else F.lit(True)) & (F.col("line_no") != F.coalesce("title_at", F.lit(-1))) & (F.col("line_no") != F.coalesce("subtitle_at", F.lit(-1)))
-    )
+    told = (F.col("meta") if drop_metadata else F.lit(False)) | F.col("line_no").eqNullSafe(F.col("title_at")) | F.col("line_no").eqNullSafe(F.col("subtitle_at"))
+    body = rows.join(heads.select("doc_id", "title", "title_at", "subtitle_at"), "doc_id").withColumn("told", told).withColumn("header", F.col("header") & ~F.col("told"))
     body = body.withColumn("section_no", F.sum(F.col("header").cast("int")).over(w))
     line, rest = F.col("line"), t.numbered_rest(F.col("line"))
     caption = t.squeeze(F.substring(line, len(lex.CAPTION_MARK) + 1, 1 << 30))
     points = (
-        F.when(F.col("header"), F.array().cast("array<string>")).when(t.is_caption(line), F.array(caption)).when(t.is_bullet(line), F.array(t.squeeze(F.regexp_replace(line, t.BULLET, ""))))
+        F.when(F.col("header") | F.col("told"), F.array().cast("array<string>")).when(t.is_caption(line), F.array(caption)).when(t.is_bullet(line), F.array(t.squeeze(F.regexp_replace(line, t.BULLET, ""))))
         .when(rest.isNotNull() & ~F.col("header_alone"), F.array(t.squeeze(rest))).otherwise(t.pack(t.sentences(line)))
     )
     body = body.withColumn("points", F.filter(points, lambda p: p != "")).withColumn("late", t.is_caption(line).cast("int"))
@@ -86,7 +86,8 @@ def sections(rows: DataFrame, heads: DataFrame, drop_metadata: bool = True) -> D
     orphan = F.when(F.col("many") > 0, "Overview").otherwise("Key Concepts & Overview")
     heading = F.when(F.col("section_no") > 0, F.col("own")).otherwise(orphan)
     kind = F.when((F.col("section_no") == 0) & (F.col("many") == 0), "theory").otherwise(t.section_type(F.concat_ws(" ", heading, F.array_join("points", " "))))
-    out = grouped.select("doc_id", "section_no", heading.alias("heading"), kind.alias("type"), "points", "title")
+    points = F.when((F.col("many") == 0) & (F.size("points") == 0), F.array(F.lit(lex.NOTHING_SAID))).otherwise(F.col("points"))
+    out = grouped.select("doc_id", "section_no", heading.alias("heading"), kind.alias("type"), points.alias("points"), "title")
     return out.where((F.size("points") > 0) & (F.col("heading") != F.col("title"))).drop("title")
 
 
