@@ -5,6 +5,7 @@ import unicodedata
 
 from weftline.functions import lexicons as lex
 from weftline.functions import text as t
+from weftline.operators import planner
 
 HEAD, CAPTION, DOT = lex.HEADING_MARK, lex.CAPTION_MARK, lex.BULLET_MARK
 INLINE = [(re.compile(p), to.replace("$", "\\")) for p, to in t.INLINE]
@@ -204,3 +205,143 @@ def structured(lines):
         elif points and heading == "" and title:
             out.append(("", kind, points))
     return (title, subtitle, *people(lines)), out
+
+
+def words(x):
+    return re.findall(r"[A-Za-z0-9][A-Za-z0-9'\-/&]*", x)
+
+
+def squeezed(x):
+    return re.sub(r"\s+", " ", x or "").strip()
+
+
+def label(point):
+    m = re.match(r"^([A-Z][A-Za-z0-9&/'\-]*(?:[ ][A-Za-z0-9&/'\-]+){0,5}):(?:\s|$)", point)
+    name = squeezed(m[1]).strip(" .:-") if m else ""
+    bad = not name or len(words(name)) > lex.TITLE_WORDS or name.lower() in lex.GENERIC_HEADINGS or re.match(lex.VARIANT_LABEL, name)
+    return None if bad else name
+
+
+def fit_title(x):
+    x = squeezed(x).strip(" .:-#")
+    if x.lower() in lex.GENERIC_HEADINGS or not words(x):
+        return ""
+    return x if len(words(x)) <= lex.TITLE_WORDS and len(x) <= 90 else " ".join(words(x)[: lex.TITLE_WORDS]).rstrip(" ,;:")
+
+
+def split_point(point):
+    """A long point as its clauses, short ones joined to the clause before."""
+    held = []
+    for c in re.split(planner.CLAUSE_CUT, point) if len(words(point)) > lex.MAX_WORDS else ():
+        c = squeezed(c).lstrip(" ,;:.-–—")
+        if c and held and len(words(c)) < lex.MIN_CLAUSE:
+            held[-1] = f"{held[-1].rstrip(' ,;:')}, {c[0].lower()}{c[1:]}"
+        elif c:
+            held.append(c)
+    if len(held) < 2:
+        return [point]
+    name, out = label(point), []
+    for i, c in enumerate(held):
+        c = (c if i == 0 or not name or label(c) else f"{name}: {c}").rstrip(" ,;:.")
+        c += "" if c.endswith(("!", "?")) else "."
+        out.append(c[0].upper() + c[1:])
+    return out
+
+
+def short(point):
+    ends = [m.end() for m in re.finditer(r"[A-Za-z0-9]\S*", point)]
+    if len(words(point)) <= lex.MAX_WORDS or len(ends) <= lex.MAX_WORDS:
+        return point
+    cut = ends[lex.MAX_WORDS - 1]
+    head = point[:cut].rstrip(" ,;:-")
+    at = next((p + len(m) - 1 for m in planner.CLAUSE_ENDS if (p := head.rfind(m)) > cut * 0.55), len(head))
+    head = squeezed(head[:at]).rstrip(" ,;:-.")
+    return (head + ("" if head.endswith(("!", "?")) else ".")) if head else squeezed(point[:cut])
+
+
+def runs(points, parts):
+    own, captions = [p for p in points if not re.match(lex.CAPTION, p)], [p for p in points if re.match(lex.CAPTION, p)]
+    if parts <= 1:
+        return [points]
+    out, at = [], 0
+    for i in range(parts):
+        end = min(max(round((i + 1) * (len(own) / parts)), at + 1), len(own))
+        out.append(own[at:end] + (captions if i == 0 else []))
+        at = end
+    return [r for r in out if r]
+
+
+def slide_title(run, base):
+    names = [x for x in map(label, run) if x]
+    most = max(names, key=lambda x: (names.count(x), -names.index(x)), default=None)
+    common = most and (names.count(most) >= 2 or len(run) == len(names) == 1)
+    return (fit_title(most) if common else "") or fit_title(label(run[0]) or "") or base
+
+
+def pool(atoms, target):
+    """(title, subtitle, section, bullets) of the slides of one kind; atoms: (section, points)."""
+    if target <= 0 or not atoms:
+        return []
+    held = []
+    for section, points in atoms:
+        points = [q for p in points for q in split_point(p)]
+        cap = max(1, min(target, max(len(points) // lex.MIN_BULLETS, 1), lex.MAX_SLOTS))
+        if held and len(points) < lex.MIN_BULLETS and len(held[-1][1]) + len(points) <= 2 * lex.MAX_BULLETS:
+            held[-1] = [held[-1][0], held[-1][1] + points, 1]
+        else:
+            held.append([section, points, cap])
+    by_size = sorted(range(len(held)), key=lambda i: (len(held[i][1]), i))
+    small = sorted(by_size[: max(0, len(held) - target)])
+    if small:
+        host = by_size[len(small)]
+        held[host] = [held[host][0], held[host][1] + [p for i in small for p in held[i][1]], 1]
+        held = [a for i, a in enumerate(held) if i not in small]
+    slots = [1] * len(held)
+    for _ in range(target - len(held)):
+        open_ = [i for i in range(len(held)) if slots[i] < held[i][2]]
+        slots[max(open_ or range(len(held)), key=lambda i: (held[i][2] - slots[i] if open_ else 0, len(held[i][1]), -i))] += 1
+    slides, spare = [], []
+    for (section, points, _), n in zip(held, slots, strict=True):
+        base, parts = fit_title(section), runs(points, n)
+        for i, run in enumerate(parts):
+            name = slide_title(run, base) or section or "Key Points"
+            name = f"{base} — Part {i + 1}" if len(parts) > 1 and name == base and base else name
+            lines = [short(p) for p in run]
+            slides.append([name, section if section and re.sub(t.PART_SUFFIX, "", name) != section else "", section, lines[: lex.MAX_BULLETS]])
+            spare += [(section, lines[k : k + lex.MAX_BULLETS]) for k in range(lex.MAX_BULLETS, len(lines), lex.MAX_BULLETS)]
+    for section, lines in spare[: target - len(slides)]:
+        name = fit_title(label(lines[0]) or "") or section or "Key Points"
+        slides.append([name, section if section != name else "", section, lines])
+    seen = set()
+    for s in slides:
+        stem, n = re.sub(t.PART_SUFFIX, "", s[0]), 2
+        if s[0] in seen:
+            while f"{stem} ({n})" in seen:
+                n += 1
+            s[0] = f"{stem} ({n})"
+        seen.add(s[0])
+    return slides
+
+
+def planned(sections, target, theory):
+    """(title, subtitle, section, type, bullets) of a deck's content slides; sections: (heading, type, points)."""
+    atoms = {"theory": [], "practical": []}
+    for heading, declared, points in sections:
+        points = [p for p in map(squeezed, points) if p]
+        of = lambda p: "practical" if re.search(rf"(?i)\b(?:{lex.PRACTICAL_POINT})\b", p) else "theory"
+        kinds = {k: [p for p in points if of(p) == k] for k in atoms}
+        if not kinds[declared]:
+            kinds = {k: points if k == declared else [] for k in atoms}
+        for k in atoms:
+            if kinds[k]:
+                atoms[k].append((squeezed(heading), kinds[k]))
+    goals = {"theory": theory, "practical": target - theory} if all(atoms.values()) else dict.fromkeys(atoms, target)
+    left = {k: [(s[0], s[1], s[2], k, s[3]) for s in pool(atoms[k], goals[k])] for k in atoms}
+    wanted = {min(target - 1, round(i * (target / theory))) for i in range(theory)}
+    out = []
+    for at in range(target):
+        kind = "theory" if at in wanted else "practical"
+        kind = kind if left[kind] else "theory" if left["theory"] else "practical"
+        if left[kind]:
+            out.append(left[kind].pop(0))
+    return out

@@ -54,3 +54,27 @@ def test_structure(spark, docs, tmp_path_factory):
             continue
         want = plain.structured(lines)
         assert (got[d.doc_id], parts.get(d.doc_id, [])) == want, (d.doc_id, d.text)
+
+
+def test_plan(spark, docs):
+    """Planned slides and shortfall of a deck for every document, the requests made of the ids."""
+    from weftline.operators import planner
+    from weftline.plans.inputs import kept, requests
+
+    _, sections = structure(kept(normalize.normalise(docs), "lines"), kept)
+    sections = kept(sections.withColumnRenamed("doc_id", "request_id"), "sections")
+    asked = kept(requests(docs).withColumnRenamed("doc_id", "request_id"), "requests")
+    planned = kept(planner.plan(sections, asked), "plan")
+    got = {}
+    for r in planned.orderBy("request_id", "pos").collect():
+        got.setdefault(r.request_id, []).append((r.title, r.subtitle, r.section, r.type, r.bullets))
+    parts = {}
+    for r in sections.orderBy("request_id", "section_no").collect():
+        parts.setdefault(r.request_id, []).append((r.heading, r.type, r.points))
+    short = {r.request_id: r for r in planner.shortfall(planned, asked).collect()}
+    for r in asked.collect():
+        want = plain.planned(parts.get(r.request_id, []), r.content_slides, r.theory_slides)
+        assert got.get(r.request_id, []) == want, r.request_id
+        s = short[r.request_id]
+        assert (s.built, s.theory, s.missing) == (len(want), sum(w[3] == "theory" for w in want), r.content_slides - len(want))
+        assert (s.note is None) == (s.missing == 0)
