@@ -1,4 +1,4 @@
-"""Normaliser and structurer against the plain versions: all of two tables, and texts made of every kind of line."""
+"""Normaliser, structurer, planner and decks against the plain versions: all of two tables, and texts made of every kind of line."""
 
 import random
 
@@ -6,8 +6,9 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import normalize
+from weftline.operators import deck, normalize, planner
 from weftline.operators.structure import structure
+from weftline.plans.inputs import kept, requests
 
 LINES = [
     "# One title", "## Two: heads #", "###### deep . - ", "#", "Plain Title Here", "plain words in a line that is not short and goes on and on", "Ends with a stop.", "SHOUTING LINE", "Overview", "Conclusion of this part.", "Note:",
@@ -15,6 +16,7 @@ LINES = [
     ">> more", "! Figure 1: a caption", "! ", "## Marked heading:", "##  ", "| a | b |", "| --- | :--: |", "| x. | y |", "|  | only |", "| name | Reason | Value (in EUR): all | Description |", "| r | one, | two. | three; | extra |", "|---|---|---|---|", "```", "~~~", "```py", "in 2024 it rained", "By Ann Lee",
     "Author: Bob", "Dr Ann Lee", "12 March 2020", "May 5", "", "  ", "---", "* * *", "____", "[link](http://a.b/c) and ![img](x) <b>tags</b> __u__ _i_ ~~s~~", "see https://x.y/z now , please ..", "emoji 🙂 → ✓ ™ ®", "ünï Çödé Wörds Here", "Ärger und Ende", "!!!", "***", "-", "a <!-- hidden --> b", "tool exercise steps",
     "One sentence here. Another one there! A third? \"Quoted\" (bracket) " + "long words follow here. " * 12, "x" * 300, "Title with trailing comma,", "What is it?", "  nbsp line", "tab\tline\there", "Case Study",
+    "## one two three four five six seven eight. nine ten", "- ßtart of a point", "## a b c d e f g h: i (2)", "- Label One: first half of it here; Label One: and " + "so many words " * 12 + ", but then more of it follows here", "Label One: text", "- " + "word, " * 40,
 ]
 
 
@@ -25,56 +27,60 @@ def made_up():
 
 
 @pytest.fixture(scope="module", params=["sf0.001", "sf0.01", "made up"])
-def docs(request, spark):
+def built(request, spark):
+    """(texts, requests, and the rows by document) of every step from texts to decks, each computed once."""
     if request.param == "made up":
-        return spark.createDataFrame(made_up(), "doc_id long, text string").repartition(4)
-    return spark.read.parquet(f"/root/testdata/{request.param}/documents.parquet")
+        docs = spark.createDataFrame(made_up(), "doc_id long, text string").repartition(4)
+    else:
+        docs = spark.read.parquet(f"/root/testdata/{request.param}/documents.parquet")
+    lines = kept(normalize.normalise(docs), "lines")
+    heads, sections = structure(lines, kept)
+    heads, sections = kept(heads, "heads"), kept(sections.withColumnRenamed("doc_id", "request_id"), "sections")
+    asked = requests(docs).join(heads.select("doc_id", "title", "subtitle", F.col("author").alias("author_name")), "doc_id", "left").withColumnRenamed("doc_id", "request_id")
+    level = F.when(F.col("request_id") % 7 == 0, "Expert").otherwise(F.col("audience_level"))
+    email = F.when(F.col("request_id") % 2 == 0, F.concat(F.col("request_id").cast("string"), F.lit("@x.org")))
+    asked = kept(asked.withColumn("title", F.coalesce("title", F.lit("Presentation"))).withColumn("author_email", email).withColumn("audience_level", level), "requests")
+    planned = kept(planner.plan(sections, asked), "plan")
+    content = kept(deck.content_slides(planned, asked), "content")
+
+    def listed(df, key, order, *columns):
+        out = {}
+        for r in df.select(key, order, F.struct(*columns).alias("r")).orderBy(key, order).collect():
+            out.setdefault(r[0], []).append(tuple(r.r) if len(columns) > 1 else r.r[0])
+        return out
 
+    rows = {
+        "lines": listed(lines, "doc_id", "line_no", "line"), "heads": {r.doc_id: (r.title, r.subtitle, r.author, r.date) for r in heads.collect()},
+        "sections": listed(sections, "request_id", "section_no", "heading", "type", "points"), "plan": listed(planned, "request_id", "pos", "title", "subtitle", "section", "type", "bullets"),
+        "short": {r.request_id: r for r in planner.shortfall(planned, asked).collect()}, "decks": listed(deck.assemble(content, asked), "request_id", "slide_number", "title", "subtitle", "type", "bullets"),
+    }
+    return {d.doc_id: d.text for d in docs.collect()}, asked.collect(), rows
 
-def test_lines(spark, docs):
-    got = {}
-    for r in normalize.normalise(docs).orderBy("doc_id", "line_no").collect():
-        got.setdefault(r.doc_id, []).append(r.line)
-    for d in docs.collect():
-        assert got.get(d.doc_id, []) == plain.marked_lines(d.text), d.doc_id
 
+def test_lines(built):
+    texts, _, rows = built
+    for i, text in texts.items():
+        assert rows["lines"].get(i, []) == plain.marked_lines(text), i
 
-def test_structure(spark, docs, tmp_path_factory):
-    from weftline.plans.inputs import kept
 
-    heads, sections = structure(kept(normalize.normalise(docs), "lines"), kept)
-    got = {r.doc_id: (r.title, r.subtitle, r.author, r.date) for r in heads.collect()}
-    parts = {}
-    for r in sections.orderBy("doc_id", "section_no").collect():
-        parts.setdefault(r.doc_id, []).append((r.heading, r.type, r.points))
-    for d in docs.collect():
-        lines = plain.marked_lines(d.text)
-        if not lines:
-            assert d.doc_id not in got and d.doc_id not in parts
-            continue
-        want = plain.structured(lines)
-        assert (got[d.doc_id], parts.get(d.doc_id, [])) == want, (d.doc_id, d.text)
+def test_structure(built):
+    texts, _, rows = built
+    for i in texts:
+        if i in rows["lines"]:
+            assert (rows["heads"][i], rows["sections"].get(i, [])) == plain.structured(rows["lines"][i]), i
+        else:
+            assert i not in rows["heads"] and i not in rows["sections"]
 
 
-def test_plan(spark, docs):
+def test_plan(built):
     """Planned slides and shortfall of a deck for every document, the requests made of the ids."""
-    from weftline.operators import planner
-    from weftline.plans.inputs import kept, requests
+    for r in built[1]:
+        want, s = plain.planned(built[2]["sections"].get(r.request_id, []), r.content_slides, r.theory_slides), built[2]["short"][r.request_id]
+        assert built[2]["plan"].get(r.request_id, []) == want, r.request_id
+        assert (s.built, s.theory, s.missing, s.note is None) == (len(want), sum(w[3] == "theory" for w in want), r.content_slides - len(want), len(want) == r.content_slides)
 
-    _, sections = structure(kept(normalize.normalise(docs), "lines"), kept)
-    sections = kept(sections.withColumnRenamed("doc_id", "request_id"), "sections")
-    asked = kept(requests(docs).withColumnRenamed("doc_id", "request_id"), "requests")
-    planned = kept(planner.plan(sections, asked), "plan")
-    got = {}
-    for r in planned.orderBy("request_id", "pos").collect():
-        got.setdefault(r.request_id, []).append((r.title, r.subtitle, r.section, r.type, r.bullets))
-    parts = {}
-    for r in sections.orderBy("request_id", "section_no").collect():
-        parts.setdefault(r.request_id, []).append((r.heading, r.type, r.points))
-    short = {r.request_id: r for r in planner.shortfall(planned, asked).collect()}
-    for r in asked.collect():
-        want = plain.planned(parts.get(r.request_id, []), r.content_slides, r.theory_slides)
-        assert got.get(r.request_id, []) == want, r.request_id
-        s = short[r.request_id]
-        assert (s.built, s.theory, s.missing) == (len(want), sum(w[3] == "theory" for w in want), r.content_slides - len(want))
-        assert (s.note is None) == (s.missing == 0)
+
+def test_decks(built):
+    """Cover, outline pages, content, recap and end."""
+    for r in built[1]:
+        assert built[2]["decks"][r.request_id] == plain.deck(built[2]["plan"].get(r.request_id, []), r.asDict()), r.request_id

@@ -222,7 +222,8 @@ def refine_bullet(x: Column) -> Column:
     t = squeeze(F.regexp_replace(F.trim(x), "^[•\\-*\\s]+", ""))
 
     def of(v: Column) -> Column:
-        low = F.concat(F.upper(F.substring(v, 1, 1)), F.lower(F.substring(v, 2, 1 << 30)))
+        first = F.upper(F.substring(v, 1, 1))  # of ß and the like two letters, of which one stays a capital
+        low = F.concat(F.substring(first, 1, 1), F.lower(F.concat(F.substring(first, 2, 2), F.substring(v, 2, 1 << 30))))
         parts = F.split(low, "(?<=\\. )(?=[a-z])")
         cased = F.array_join(F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)), "")
         return clip(F.when(cased.rlike("[.!?]$"), cased).otherwise(F.concat(cased, F.lit("."))))

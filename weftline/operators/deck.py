@@ -25,7 +25,7 @@ def content_slides(planned: DataFrame, requests: DataFrame) -> DataFrame:
     key = F.concat_ws("|", "type", level)
     r = r.where(F.exists("bullets", lambda b: F.trim(b) != "")).withColumn("lines", refined)
     generic = F.when(F.col("audience_level").isin(*lex.COVER_LINES), _lookup(lex.SUBTITLES, key)).when(F.col("type") == "practical", "Practical Implementation").otherwise("Key Concepts")
-    title = t.clean_title(F.col("title"))
+    title = t.clean_title(t.clean_title(F.col("title")))  # the cut to eight words may leave a mark at the end
     return r.select(
         "request_id", "pos", title.alias("title"), F.coalesce(F.nullif(t.squeeze("subtitle"), F.lit("")), generic).alias("subtitle"), "type",
         F.when(F.size("lines") > 0, F.col("lines")).otherwise(_lookup(lex.FILLERS, key)).alias("bullets"), speaker_notes(title).alias("notes"),
