@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import deck_queries, layout_queries, record_queries, relational_queries, slot_queries, text_queries
+from weftline.plans import deck_queries, dispatch_queries, layout_queries, record_queries, relational_queries, slot_queries, text_queries
 
-MODULES = (text_queries, deck_queries, relational_queries, slot_queries, record_queries, layout_queries)
+MODULES = (text_queries, deck_queries, relational_queries, slot_queries, record_queries, layout_queries, dispatch_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

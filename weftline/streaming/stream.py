@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from weftline.operators.structure import structure
@@ -20,6 +24,46 @@ def memoised(prompts: DataFrame, seconds: int = 1800) -> DataFrame:
     return keyed.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["prompt_hash"])
 
 
+ANSWERED = "prompt_hash string, id long, ts timestamp, answer string, served boolean"
+
+
+def answered_from_memory(calls: DataFrame, seconds: int = 1800, late: str = "10 minutes") -> DataFrame:
+    """(prompt_hash, id, ts, answer, served): every call with the answer that is stored for its prompt, while it lives, else with its own.
+
+    calls: id, ts, prompt, requested, answer (what a call at that time gets). A key's answer is kept
+    from the call that got it until ``seconds`` later, the last moment included; a timer on the
+    watermark then drops it. Calls of a batch are taken by time and id, those of a key in memory, so
+    bound batches by maxFilesPerTrigger; null times are left out. State is one answer a key.
+    """
+    ttl = pd.Timedelta(seconds=seconds)
+
+    def task(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, at = state.get if state.exists else (None, None)
+        at = None if at is None else pd.Timestamp(at, unit="us")
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        answers, served = [], []
+        for ts, own in zip(rows["ts"], rows["answer"], strict=True):
+            alive = at is not None and ts <= at + ttl
+            if not alive:
+                held, at = own, ts
+            answers.append(held)
+            served.append(alive)
+        ends = (at + ttl).value // 1000 // 1000 + 1
+        if ends > state.getCurrentWatermarkMs():
+            state.update((held, at.value // 1000))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"prompt_hash": key[0], "id": rows["id"].to_numpy(), "ts": rows["ts"].to_numpy(), "answer": answers, "served": served})
+
+    keyed = calls.where("ts is not null").withColumn("prompt_hash", F.sha2(F.concat_ws("\u0001", "prompt", F.col("requested").cast("string")), 256))
+    told = keyed.select("prompt_hash", "id", "ts", "answer").withWatermark("ts", late).groupBy("prompt_hash")
+    return told.applyInPandasWithState(task, ANSWERED, "answer string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def sections_sink(docs: DataFrame, out: str, checkpoint: str, normalise):
     """Sections of arriving documents, batch by batch; a batch that is tried again replaces its own folder."""
 
