@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import dispatch
 from weftline.plans import dispatch_queries as q
+from weftline.sources import sinks
 from weftline.streaming import stream
 
 
@@ -65,3 +66,20 @@ def test_wrapped_lines_of_a_whole_table(spark):
             want |= {(d.doc_id, n, i): r for i, r in enumerate(rows)}
     got = q.wrapped_lines(spark, "/root/testdata/sf0.001")
     assert {(r.doc_id, r.line_no, r.row): r.text for r in got.collect()} == want
+
+
+def test_upserts(spark, tmp_path):
+    """Late and repeated batches change nothing; buckets that no update touches keep their files."""
+    path, schema = str(tmp_path / "t"), "id long, batch long, status string"
+    put = lambda *rows: sinks.upserted(spark.createDataFrame(list(rows), schema), path, "id", 8)
+    table = lambda: {r.id: (r.batch, r.status) for r in spark.read.parquet(path).collect()}
+    files = lambda: {f.parent.name: f.name for f in sorted((tmp_path / "t").rglob("*.parquet"))}
+    put()
+    put(*((i, 1, "queued") for i in range(20)), (None, 1, "none"))
+    before = files()
+    put((3, 2, "done"), (3, 1, "late"), (50, 2, "new"))
+    after = files()
+    assert table() == {i: (1, "queued") for i in range(20)} | {None: (1, "none"), 3: (2, "done"), 50: (2, "new")}
+    assert 0 < sum(before[b] == after[b] for b in before) < len(before)
+    put((3, 1, "queued"), (50, 2, "new"), (50, 2, "a"))
+    assert table()[3] == (2, "done") and table()[50] == (2, "new")

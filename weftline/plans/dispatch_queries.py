@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import dispatch
 from weftline.plans.inputs import scratch, table
+from weftline.sources import sinks
 from weftline.streaming import stream
 
 #: Widths of some characters, in tenths of a point at ten points; all others are as wide as OTHER.
@@ -58,9 +59,19 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "line_no", F.posexplode(dispatch.wrapped(F.col("line"), widths, MOST, SPACE, OTHER)).alias("row", "text"))
 
 
-QUERIES = [prompt_texts, answers_in_waves, answers_from_memory, wrapped_lines]
+def upserted_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as updates of each user's status, in four batches that arrive out of order and partly twice; the table has the newest."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("batch"), F.col("event_type").alias("status"), "value")
+    path = f"{scratch(spark)}/weftline-status-{uuid.uuid4().hex}"
+    for part in (1, 3, 1, 0, 2, 3):
+        sinks.upserted(e.where(F.pmod(F.xxhash64("batch"), F.lit(4)) == part), path, "user_id")
+    return spark.read.parquet(path).select("user_id", "batch", "status", "value")
+
+
+QUERIES = [upserted_status, prompt_texts, answers_in_waves, answers_from_memory, wrapped_lines]
 
 SQL = {
+    "upserted_status": "SELECT user_id, event_id AS batch, event_type AS status, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "prompt_texts": """WITH p AS (SELECT p_partkey, p_type = 'ECONOMY' AS odd, p_name, p_size, '{size} ' || p_brand AS brand, lower(p_type) AS type, coalesce(CAST(nullif(p_size % 7, 0) AS VARCHAR), '') AS price FROM part)
     SELECT p_partkey, 'Write ' || p_size || ' slides on ' || CASE WHEN odd THEN '{colour}' ELSE p_name END || ' for ' || brand || ', of type ' || type || '. ' || p_name || ' costs ' || price || '; {braces' AS text,
     CASE WHEN odd THEN 'colour' ELSE '' END AS missing FROM p""",
