@@ -416,3 +416,37 @@ def deck(slides, request):
         (head_title(request["title"]), request["subtitle"], "cover", [*lex.COVER_LINES[known], *signed]), *outline, *body,
         ("Key Takeaways", "Recap of the main ideas covered in this session", "takeaways", lines), ("Thank You", None, "end", ["Questions & discussion", *signed]),
     ]
+
+
+def tokens(x):
+    return {w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9\-]{2,}", x or "")} - set(lex.MATCH_STOPWORDS)
+
+
+def section_key(x):
+    x = re.sub(r"^\s*(?:\d+(?:\.\d+)*[.)]?|[IVXLC]+[.)])\s*", "", x or "")
+    x = re.sub(r"\s*\([^)]*\)", "", re.sub(r"\s*[:–—-]\s*.*$", "", x))
+    return " ".join(w for w in re.findall("[a-z0-9]+", x.lower()) if w not in lex.HEADING_NOISE)
+
+
+def matched(slides, figures):
+    """{slide: (figure, score)}: slides as (pos, title, bullets), figures as (no, caption, section)."""
+    own = [(no, tokens(f"{caption} {section}"), section_key(section)) for no, caption, section in figures]
+    best = []
+    for pos, title, bullets in slides:
+        said, key = tokens(" ".join([title, *(b for b in bullets if not b.startswith("**"))])), section_key(title)
+        scored = []
+        for no, f, k in own:
+            shared = len(f & said)
+            fits = shared and shared / len(f) >= 0.34 and (shared >= 2 or len(f) <= 2)
+            score = shared / len(f) * min(shared, 4) ** 0.5 if fits else 0.0
+            score += 0.0 if not k or not key else 2.0 if k == key else 1.6 if k.startswith(key) or key.startswith(k) else 0.0
+            scored.append((score, -no))
+        top = max(scored, default=(0.0, 0))
+        if top[0] > 0:
+            best.append((-top[0], pos, -top[1]))
+    used, out = set(), {}
+    for score, pos, no in sorted(best):
+        if no not in used:
+            used.add(no)
+            out[pos] = (no, -score)
+    return out

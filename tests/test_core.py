@@ -1,12 +1,15 @@
 """Normaliser, structurer, planner and decks against the plain versions: all of two tables, and texts made of every kind of line."""
 
 import random
+import re
 
 import plain
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import deck, normalize, planner
+from weftline.functions import lexicons as lex
+from weftline.functions import text as t
+from weftline.operators import deck, matching, normalize, planner
 from weftline.operators.structure import structure
 from weftline.plans.inputs import kept, requests
 
@@ -54,6 +57,13 @@ def built(request, spark):
         "sections": listed(sections, "request_id", "section_no", "heading", "type", "points"), "plan": listed(planned, "request_id", "pos", "title", "subtitle", "section", "type", "bullets"),
         "short": {r.request_id: r for r in planner.shortfall(planned, asked).collect()}, "decks": listed(deck.assemble(content, asked), "request_id", "slide_number", "title", "subtitle", "type", "bullets"),
     }
+    words = docs.select(F.col("doc_id").alias("request_id"), F.posexplode(F.split("text", "\r\n?|\n")).alias("figure_no", "caption")).where("caption <> ''")
+    figures = words.withColumn("section", F.array_join(F.slice(F.split("caption", " "), 1, 3), " "))
+    rows |= {
+        "content": listed(content, "request_id", "pos", "pos", "title", "bullets"), "figures": listed(figures, "request_id", "figure_no", "figure_no", "caption", "section"),
+        "matches": listed(matching.figure_matches(content, figures), "request_id", "pos", "pos", "figure_no", "score"), "atoms": listed(planner.atoms(sections), "request_id", "atom_no", "section", "kind", "points"),
+        "inline": listed(words.select("request_id", "figure_no", t.plain("caption").alias("clean")), "request_id", "figure_no", "clean"),
+    }
     return {d.doc_id: d.text for d in docs.collect()}, asked.collect(), rows
 
 
@@ -84,3 +94,30 @@ def test_decks(built):
     """Cover, outline pages, content, recap and end."""
     for r in built[1]:
         assert built[2]["decks"][r.request_id] == plain.deck(built[2]["plan"].get(r.request_id, []), r.asDict()), r.request_id
+
+
+def test_figures_matched_to_slides(built):
+    """Each line of a document as a figure: the best of a slide, each used once."""
+    for i in built[0]:
+        got = {pos: (no, round(score, 9)) for pos, no, score in built[2]["matches"].get(i, [])}
+        want = plain.matched(built[2]["content"].get(i, []), built[2]["figures"].get(i, []))
+        assert got == {k: (no, round(score, 9)) for k, (no, score) in want.items()}, i
+
+
+def test_inline_markup(built):
+    for i, lines in built[2]["inline"].items():
+        assert lines == [plain.spaced(plain.undecorated(plain.inline(c))) for _, c, _ in built[2]["figures"][i]], i
+
+
+def test_atoms(built):
+    """A section's lines by theme, in order, none lost; a section whose declared kind has no line stays whole."""
+    for i, sections in built[2]["sections"].items():
+        got = built[2]["atoms"].get(i, [])
+        of = lambda p: "practical" if re.search(rf"(?i)\b(?:{lex.PRACTICAL_POINT})\b", p) else "theory"
+        want = []
+        for heading, declared, points in sections:
+            points = [plain.squeezed(p) for p in points]
+            kinds = {k: [p for p in points if of(p) == k] for k in ("theory", "practical")}
+            kinds = kinds if kinds[declared] else {declared: points}
+            want += [(plain.squeezed(heading), k, ps) for k, ps in kinds.items() if ps]
+        assert got == want, i
