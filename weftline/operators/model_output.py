@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as t
 
-SLIDES = "array<struct<title:string,bullets:array<string>,type:string>>"
 MOST_BULLETS = 6
 
 
@@ -27,15 +26,48 @@ def block_slide(block: Column) -> Column:
     return F.struct(field("TITLE").alias("title"), F.slice(F.filter(bullets, lambda b: b != ""), 1, MOST_BULLETS).alias("bullets"), F.when(kind.isin("theory", "practical"), kind).otherwise("theory").alias("type"))
 
 
+def _said(x: Column) -> Column:
+    """A VARIANT as text: strings as they are, numbers as digits, null and truth values by name, arrays and objects as JSON."""
+    text = F.try_variant_get(x, "$", "string")
+    return F.when(F.is_variant_null(x), "None").when(F.schema_of_variant(x) == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
+def json_slides(body: Column) -> Column:
+    """The slides of a JSON list, null where the text is no list: keys may lack, and values of any kind are taken as text.
+
+    Items that are no objects are left out, but count in the numbers of slides without a title.
+    Bullets that are no list are one bullet; MOST_BULLETS of them stay; an unknown type is theory.
+    """
+    listed = F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")
+    get = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+
+    def slide(x: Column, i: Column) -> Column:
+        many = F.try_variant_get(x, "$.bullets", "array<variant>")
+        bullets = F.when(get(x, "bullets").isNull(), F.array().cast("array<string>")).when(many.isNotNull(), F.transform(F.slice(many, 1, MOST_BULLETS), _said)).otherwise(F.array(_said(get(x, "bullets"))))
+        kind = F.lower(_said(get(x, "type")))
+        title = F.when(get(x, "title").isNull(), F.concat(F.lit("Slide "), (i + 1).cast("string"))).otherwise(_said(get(x, "title")))
+        whole = F.struct(title.alias("title"), bullets.alias("bullets"), F.when(kind.isin("theory", "practical"), kind).otherwise("theory").alias("type"))
+        return F.when(F.schema_of_variant(x).startswith("OBJECT"), whole)
+
+    return F.filter(F.transform(listed, slide), lambda s: s.isNotNull())
+
+
 def parsed(responses: DataFrame) -> DataFrame:
     """(prompt_hash, requested, slides): a JSON list of slides, else the text's blocks; six bullets, unknown types as theory."""
-    body = t.strip_fences(F.col("raw"))
-    listed = F.from_json(body, SLIDES)
-    kind = lambda s: F.when(F.lower(s["type"]).isin("theory", "practical"), F.lower(s["type"])).otherwise("theory")
-    fixed = F.transform(listed, lambda s: F.struct(F.coalesce(F.trim(s["title"]), F.lit("")).alias("title"), F.slice(F.filter(F.coalesce(s["bullets"], F.array().cast("array<string>")), lambda b: F.trim(b) != ""), 1, MOST_BULLETS).alias("bullets"), kind(s).alias("type")))
-    good = F.filter(fixed, lambda s: (s["title"] != "") | (F.size(s["bullets"]) > 0))
-    is_list = body.startswith("[") & listed.isNotNull() & (F.size(good) > 0)
-    return responses.select("prompt_hash", "requested", F.when(is_list, good).otherwise(F.transform(blocks(F.col("raw")), block_slide)).alias("slides"))
+    slides = F.coalesce(json_slides(t.strip_fences(F.col("raw"))), F.transform(blocks(F.col("raw")), block_slide))
+    return responses.select("prompt_hash", "requested", slides.alias("slides"))
+
+
+def sections(slides: DataFrame, key: str = "request_id") -> DataFrame:
+    """(key, section_no, heading, type, points): model slides as sections for the planner; slides without a bullet are left out.
+
+    slides: the key, and slides as ``parsed`` and ``normalised_count`` give them. The model does not
+    decide how many slides a deck has: the planner plans them again.
+    """
+    s = slides.select(key, F.posexplode("slides").alias("at", "s"))
+    points = F.filter("s.bullets", lambda b: F.regexp_replace(b, "(?U)\\s", "") != "")
+    title = F.coalesce(F.nullif("s.title", F.lit("")), F.concat(F.lit("Section "), (F.col("at") + 1).cast("string")))
+    return s.withColumn("points", points).where(F.size("points") > 0).select(key, (F.col("at") + 1).alias("section_no"), t.clean_title(title).alias("heading"), F.col("s.type").alias("type"), "points")
 
 
 def redistributed(points: Column, parts: Column) -> Column:

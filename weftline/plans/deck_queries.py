@@ -89,16 +89,30 @@ def redistributed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(runs).alias("run", "points")).select("doc_id", "run", F.size("points").alias("n_points"), F.array_join("points", "\n").alias("points"))
 
 
-def model_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses in the block form made of each conversation, parsed back and brought to the requested number."""
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses in the block form made of each conversation, brought to four slides."""
     c = table(spark, sf_dir, "conversations")
     block = F.concat(F.lit("<<<START_SLIDE>>>\nTITLE: Turn "), F.col("turn").cast("string"), F.lit("\nTYPE: "), F.when(F.col("role") == "user", "practical").otherwise("theory"), F.lit("\n- "), F.regexp_replace("text", "\\s+", " "), F.lit("\n<<<END_SLIDE>>>"))
     raw = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n").alias("raw"))
-    got = model_output.normalised_count(model_output.parsed(raw.select(F.col("conv_id").cast("string").alias("prompt_hash"), F.lit(4).alias("requested"), "raw")))
-    s = got.select("prompt_hash", F.posexplode("slides").alias("pos", "s"))
+    return model_output.normalised_count(model_output.parsed(raw.select(F.col("conv_id").cast("string").alias("prompt_hash"), F.lit(4).alias("requested"), "raw")))
+
+
+def model_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses in the block form made of each conversation, parsed back and brought to the requested number."""
+    s = _answers(spark, sf_dir).select("prompt_hash", F.posexplode("slides").alias("pos", "s"))
     return s.select("prompt_hash", "pos", "s.title", "s.type", F.array_join("s.bullets", "\n").alias("bullets"))
 
 
+def model_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks of conversations: the slides of their answers as sections, planned again, and wrapped like any other deck."""
+    got = kept(_answers(spark, sf_dir).withColumn("doc_id", F.col("prompt_hash").cast("long")), "answers")
+    asked = requests(got.select("doc_id", F.array_join(F.flatten(F.transform("slides", lambda s: s["bullets"])), " ").alias("text"))).withColumnRenamed("doc_id", "request_id")
+    none = F.lit(None).cast("string")
+    asked = kept(asked.select("*", F.concat(F.lit("Conversation "), F.col("request_id").cast("string")).alias("title"), none.alias("subtitle"), none.alias("author_name"), none.alias("author_email")), "requests")
+    sections = kept(model_output.sections(got.withColumnRenamed("doc_id", "request_id")), "sections")
+    return deck.assemble(_content(sections, asked), asked).withColumn("bullets", F.array_join("bullets", "\n"))
+
+
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexed = F.concat(F.lit("#"), F.lpad(F.hex(F.pmod(F.col("p_partkey") * 2654435, F.lit(16777216))), 6, "0"))
     p = table(spark, sf_dir, "part").select("p_partkey", hexed.alias("colour"))
@@ -126,7 +140,7 @@ def formatted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("doc_id", F.col("run.style").alias("style")).agg(F.count("*").alias("n"), F.sum(F.length("run.text")).alias("chars"))
 
 
-QUERIES = [section_atoms, slot_allocation, planned_slides, plan_shortfall, outline_pages, recap_lines, decks, rendered_decks, figure_matches, redistributed_points, model_slides, colours, ranked_images, formatted_runs]
+QUERIES = [section_atoms, slot_allocation, planned_slides, plan_shortfall, outline_pages, recap_lines, decks, rendered_decks, figure_matches, redistributed_points, model_slides, model_decks, colours, ranked_images, formatted_runs]
 
 SQL = {
     "redistributed_points": """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS p, 2 + doc_id % 5 AS k FROM documents), r AS (SELECT *, unnest(range(0, k)) AS i, len(p) AS n FROM d),
