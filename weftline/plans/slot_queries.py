@@ -36,9 +36,8 @@ def preferred_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def earlier_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that are like an earlier one of their conversation, by a threshold that some of them pass; DuckDB counts bytes, so only ASCII texts."""
-    c = table(spark, sf_dir, "conversations").where(F.col("text").rlike("^[\\x00-\\x7f]*$"))
-    return matching.earlier_duplicates(c, "conv_id", "turn", "text", 0.25)
+    """Turns that are like an earlier one of their conversation, by a threshold that some of them pass."""
+    return matching.earlier_duplicates(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.25)
 
 
 def caption_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +103,7 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as paragraphs; every fourth is styled as a heading, and the second says Contents."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "text"))
-    p = d.select("doc_id", "pos", F.when(F.col("pos") == 0, "Title").when((F.col("pos") == 1) | (F.col("pos") % 4 == 3), "Heading 1").otherwise("Normal").alias("style"), F.when(F.col("pos") == 1, "Contents").otherwise(F.substring("text", 1, 60)).alias("text"))
+    p = d.select("doc_id", "pos", F.when(F.col("pos") == 0, "Title").when((F.col("pos") == 1) | (F.col("pos") % 4 == 3), "Heading 1").otherwise("Normal").alias("style"), F.when(F.col("pos") == 1, "Contents").otherwise(F.col("text")).alias("text"))
     return slots.front_matter(p).groupBy("doc_id").agg(F.count_if("front").alias("n_front"))
 
 
@@ -118,7 +117,7 @@ def padded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(t.preserve_structure(F.col("text"))).alias("kept_md5"), F.md5(t.strict_clean(F.col("text"))).alias("strict_md5"), t.clean_point(F.substring("text", 1, 80)).alias("point"))
+    return d.select("doc_id", F.md5(t.preserve_structure(F.col("text"))).alias("kept_md5"), F.md5(t.strict_clean(F.col("text"))).alias("strict_md5"), t.clean_point(F.col("text")).alias("point"))
 
 
 def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +219,9 @@ SQL = {
     SELECT request_id, pos, CASE WHEN planned THEN 'query ' || pos ELSE {keywords_sql("concat_ws(' ', title, CASE WHEN trim(text) <> '' AND NOT starts_with(text, '**') THEN text ELSE '' END)")} END AS keywords,
     CAST(coalesce(trim(text) <> '' AND NOT starts_with(text, '**'), false) AS INTEGER) AS n_points, planned AND role = 'user' AS promote, CASE WHEN planned AND role = 'user' THEN role END AS caption FROM s WHERE asked OR (planned AND role = 'user')""",
     "preferred_slides": f"WITH {_TURNS} SELECT request_id, pos, CAST(length(text) AS INTEGER) AS affinity FROM c QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY affinity DESC, pos) <= 2",
-    "earlier_duplicates": """WITH c AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7f]*$'))
+    # DuckDB's edit distance counts bytes, so each accented letter first becomes one control character
+    "earlier_duplicates": """WITH m AS (SELECT string_agg(chr(i), '' ORDER BY i) AS k FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22]) AS i)),
+    c AS (SELECT conv_id, turn, translate(lower(text), 'äöüßéèêçíñóàáúôîâ', k) AS t FROM conversations, m)
     SELECT DISTINCT a.conv_id, a.turn FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn < a.turn WHERE greatest(0.0, 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t), 1)::DOUBLE) > 0.25""",
     "caption_bullets": f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
     k AS (SELECT doc_id, list_transform(p, lambda x: array_to_string(list_filter(regexp_extract_all(lower(x), '[a-z0-9]+'), lambda w: NOT list_contains({_list(lex.CAPTION_LABELS)}, w) AND NOT regexp_matches(w, '^[0-9]+$')), ' ')) AS k FROM l)
@@ -242,7 +243,7 @@ SQL = {
     "page_labels": """WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INTEGER) AS page, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN l_partkey % 3 = 0 THEN CAST(l_partkey AS VARCHAR) WHEN l_partkey % 3 = 1 THEN ['ii', 'XIV', 'm'][l_suppkey % 3 + 1] ELSE 'page 3' END AS label FROM lineitem)
     SELECT doc_id, page, label FROM l WHERE 700 + l_quantity * 2 > 720 AND label <> 'page 3' AND length(label) <= 8 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY l_linenumber, l_partkey, l_suppkey) = 1""",
     "front_matter": rf"""WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS pos, unnest(p) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
-    s AS (SELECT doc_id, pos, CASE WHEN pos = 1 THEN 'Contents' ELSE substring(x, 1, 60) END AS x FROM l),
+    s AS (SELECT doc_id, pos, CASE WHEN pos = 1 THEN 'Contents' ELSE x END AS x FROM l),
     k AS (SELECT *, rtrim(lower(trim(regexp_replace(replace(x, chr(173), ''), '{_GAP}+', ' ', 'g'))), '.:') AS low, regexp_extract(x, '^\s*(\d{{1,2}}(?:\.\d{{1,2}})*)[.)]?\s+(\S.*)$', 2) AS rest FROM s),
     e AS (SELECT doc_id, pos, (pos = 1 OR pos % 4 = 3 OR regexp_matches(x, '(?i)^\s*(?:chapter|section|part|module|unit|annex)\s+[\dIVXivx]+') OR (rest <> '' AND {_words('rest')} <= 9 AND NOT ends_with(rest, '.'))) AND pos <> 0
     AND NOT (low <> '' AND len(list_filter({_FRONT}, lambda p: low = p OR starts_with(low, p || ' ') OR ends_with(low, p))) > 0)
@@ -252,7 +253,7 @@ SQL = {
     SELECT l_orderkey, round(sum(greatest(0.0::DOUBLE, x1 - x0) * greatest(0.0::DOUBLE, y1 - y0)), 3) AS area, round(max(x1), 3) AS "right" FROM b GROUP BY ALL""",
     "clean_inputs": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'))) AS kept_md5,
     md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9\s@\x0b]', '', 'g'), '[\s\x0b]+', ' ', 'g'))) AS strict_md5,
-    coalesce(nullif(trim(regexp_replace(regexp_replace(coalesce(substring(text, 1, 80), ''), '\*\*(.*?)\*\*', '\1', 'g'), '[_\-]{2,}', ' ', 'g')), ''), 'Key information point') AS point FROM documents""",
+    coalesce(nullif(trim(regexp_replace(regexp_replace(coalesce(text, ''), '\*\*(.*?)\*\*', '\1', 'g'), '[_\-]{2,}', ' ', 'g')), ''), 'Key information point') AS point FROM documents""",
     "iso_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END AS at FROM events",
     "document_summaries": f"""WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)
     SELECT doc_id, CAST(ceil(len(p) / 40.0) AS INTEGER) || ' pages, ' || {_words('text')} || ' words of body text, ' || {_words('p[1]')} || ' words of front matter, ' || len(list_filter(p, lambda x: regexp_matches(x, '[0-9]'))) || ' visuals' AS summary FROM d""",
