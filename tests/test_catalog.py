@@ -1,4 +1,6 @@
-from weftline.operators import catalog, figures, geometry, matching
+from pyspark.sql import functions as F
+
+from weftline.operators import catalog, deck, figures, geometry, matching
 
 
 def test_chain_order_and_builtin(spark):
@@ -31,3 +33,17 @@ def test_each_figure_once(spark):
 def test_boxes_merge(spark):
     r = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 10.0, 1), (1, 0, 20.0, 0.0, 30.0, 10.0, 1), (1, 0, 100.0, 0.0, 110.0, 10.0, 1)], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, items long")
     assert sorted((x.x0, x.x1, x["items"]) for x in figures.rect_clusters(r).collect()) == [(0.0, 30.0, 2), (100.0, 110.0, 1)]
+
+
+def test_visuals_that_get_a_slide(spark):
+    """A diagram, a dense figure or a drawn infographic doubles its slide; photos and figures that are not dense stay."""
+    image = "struct<url:string,diagram:string,promote:boolean,local:boolean,keyword:string,generated:boolean>"
+    rows = [
+        ("theory", ("u", None, True, True, "", False)), ("theory", ("u", None, False, True, "k", True)), ("practical", (None, "d", None, None, None, None)), ("theory", ("u", None, None, None, "k", True)),
+        ("theory", ("u", None, None, None, " ", True)), ("theory", ("", None, True, None, "k", True)), ("cover", ("u", "d", True, None, "k", True)), ("takeaways", ("u", None, None, None, "k", None)), ("theory", None),
+    ]
+    df = spark.createDataFrame([(1, i, f"t{i}", "sub", k, ["b"], im) for i, (k, im) in enumerate(rows, 1)], f"request_id long, slide_number int, title string, subtitle string, type string, bullets array<string>, image {image}")
+    caption = F.when(F.col("slide_number") == 1, "cap").when(F.col("slide_number") == 3, "")
+    got = [(r.title, r.type, r.subtitle, len(r.bullets)) for r in deck.promoted(df, deck.deserves_slide(F.col("type"), F.col("image")), caption).orderBy("slide_number").collect()]
+    alone = {"t1": "cap", "t3": "sub", "t4": "sub"}
+    assert got == [x for i, (k, _) in enumerate(rows, 1) for x in [(f"t{i}", k, "sub", 1), *([(f"t{i}", "image", alone[f"t{i}"], 0)] if f"t{i}" in alone else [])]]

@@ -23,7 +23,7 @@ def presentation_list(presentations: DataFrame, users: DataFrame, tasks: DataFra
 
 def clashes(rows: DataFrame, key: str, id_: str) -> DataFrame:
     """Rows whose key another id has too: one aggregate over digests of the keys, however long these are, and no self-join. Null keys clash with none."""
-    dealt = rows.withColumn("_digest", F.sha2(F.col(key).cast("string").cast("binary"), 256))
+    dealt = rows.where(F.col(key).isNotNull()).withColumn("_digest", F.sha2(F.col(key).cast("string").cast("binary"), 256))
     ids = dealt.groupBy("_digest").agg(F.min(id_).alias("_lo"), F.max(id_).alias("_hi")).where("_lo <> _hi")
     return dealt.join(ids.select("_digest"), "_digest", "left_semi").drop("_digest")
 

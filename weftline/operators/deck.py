@@ -113,12 +113,27 @@ def assemble(content: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select("request_id", number.alias("slide_number"), *DECK[1:])
 
 
-def promoted(deck: DataFrame, dense: Column) -> DataFrame:
-    """Slides whose ``dense`` holds become two rows: the slide, then its visual alone; renumbered."""
+def deserves_slide(kind: Column, image: Column) -> Column:
+    """Whether a slide's visual gets a slide of its own: a diagram, a dense figure of a document, or an infographic that is drawn for its keyword.
+
+    image: struct(url, diagram, promote, local, keyword, generated), where ``local`` tells that the
+    file of a document's figure is there and ``generated`` that the keyword's image is drawn. Photos
+    and a document's other figures stay beside the text; covers, outlines, ends and images have none.
+    """
+    told = lambda c: F.coalesce(c, F.lit(False))
+    some = told(image["url"] != "") | image["diagram"].isNotNull()
+    dense = image["diagram"].isNotNull() | told(image["promote"]) | (~told(image["local"]) & told(F.trim(image["keyword"]) != "") & told(image["generated"]))
+    return some & ~kind.isin("cover", "outline", "end", "image") & dense
+
+
+def promoted(deck: DataFrame, dense: Column, caption: Column | None = None) -> DataFrame:
+    """Slides whose ``dense`` holds become two rows: the slide, then its visual alone, under its caption if it has one; renumbered."""
     rows = deck.withColumn("role", F.explode(F.when(dense, F.array(F.lit("content"), F.lit("image"))).otherwise(F.array(F.lit("content")))))
-    kind = F.when(F.col("role") == "image", "image").otherwise(F.col("type"))
+    alone = F.col("role") == "image"
     order = Window.partitionBy("request_id").orderBy("slide_number", "role")
-    return rows.withColumn("type", kind).withColumn("slide_number", F.row_number().over(order)).drop("role")
+    under = F.coalesce(F.nullif(caption, F.lit("")), F.col("subtitle")) if caption is not None else F.col("subtitle")
+    new = {"type": F.when(alone, "image").otherwise(F.col("type")), "bullets": F.when(alone, F.array().cast("array<string>")).otherwise(F.col("bullets")), "subtitle": F.when(alone, under).otherwise(F.col("subtitle"))}
+    return rows.withColumns(new).withColumn("slide_number", F.row_number().over(order)).drop("role")
 
 
 def content_ordinal(deck: DataFrame) -> DataFrame:

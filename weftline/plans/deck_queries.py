@@ -66,10 +66,15 @@ def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks whose slides have visuals by their number of lines: diagrams, dense figures, photos of documents and drawn infographics."""
     _, sections, asked = _structured(spark, sf_dir)
     whole = deck.assemble(_content(sections, asked), asked)
-    dense = F.col("type").isin("theory", "practical") & (F.size("bullets") >= 4)
-    out = deck.content_ordinal(deck.promoted(whole, dense))
+    n, none = F.size("bullets"), F.lit(None)
+    image = F.struct(
+        F.when(n > 1, F.concat(F.lit("https://images.invalid/"), F.col("slide_number").cast("string"))).alias("url"), F.when(n == 5, F.col("title")).otherwise(none).alias("diagram"),
+        (n == 4).alias("promote"), (n == 3).alias("local"), F.col("title").alias("keyword"), F.col("title").rlike("[A-Z]").alias("generated"),
+    )
+    out = deck.content_ordinal(deck.promoted(whole, deck.deserves_slide(F.col("type"), image), F.when(n == 4, F.concat(F.lit("Figure: "), "title"))))
     blocks = spark.createDataFrame([(1, "cover"), (2, "outline"), (3, "theory"), (4, "practical"), (5, "theory"), (6, "end")], "block_no int, type string")
     return deck.matched_blocks(out, blocks).select("request_id", "slide_number", "type", "title", "content_index", "block_no", maths.fitted_size(F.col("bullets"), 9.0, 4.5, 20.0, 9.0).alias("font_size"))
 

@@ -138,7 +138,8 @@ def image_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as the rows of a table."""
-    e = table(spark, sf_dir, "events")
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = table(spark, sf_dir, "events").withColumn("n", first).where("n <= 8")  # what a preview can show, before anything is gathered
     cells = F.array(*(F.col("event_id").cast("string") for _ in range(7)))
     by = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", cells.alias("c")))).alias("s"))
     shown = sinks.table_preview(F.transform("s", lambda x: x["c"]))
