@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.inputs import kept
+
 
 def latest_per(rows: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     """The newest row of each key, the least tie-breaker of equals."""
@@ -38,8 +40,16 @@ def provider_chain(providers: DataFrame, task: str, builtin: DataFrame) -> DataF
     p = providers.where(F.col("enabled") & serves).select("name", "provider_type", model.alias("model"), F.coalesce("priority", F.lit(100)).alias("priority"), F.coalesce("is_default", F.lit(False)).alias("is_default"), F.lit(0).alias("last"))
     own = builtin.join(p, "provider_type", "left_anti").select("name", "provider_type", "model", F.lit(100).alias("priority"), F.lit(True).alias("is_default"), F.lit(1).alias("last"))
     keys = ["last", "is_default", F.when(~F.col("is_default"), F.col("priority")), F.when(~F.col("is_default"), F.col("name"))]
-    order = Window.orderBy(*keys)  # the configured providers, a few rows
-    return p.unionByName(own).withColumn("position", F.row_number().over(order)).drop("last")
+    return numbered(p.unionByName(own), keys, "position").drop("last")
+
+
+def numbered(rows: DataFrame, keys: list[Column | str], name: str) -> DataFrame:
+    """Rows with their number from 1 in the order of keys: ranges of keys are numbered apart, and each starts after the sizes of those before it, a row a range."""
+    dealt = kept(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return dealt.withColumn("_own", inside).join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_own")).cast("int")).drop("_range", "_own", "_start")
 
 
 def redacted(providers: DataFrame, secret: str = "api_key") -> DataFrame:
