@@ -69,27 +69,32 @@ def rect_clusters(rects: DataFrame, gap: float = GAP) -> DataFrame:
     Boxes whose corners lie in one square of side gap are within gap of each other, so those are
     merged by an aggregate, and the square names what they make. Squares that touch through the grid
     point to the neighbour with the least hash, pointers are followed once more, and boxes of one
-    pointer merge: pieces shrink by a share each round, about log n rounds, whatever their shape. A
-    round is written, and the last one finds no pair.
+    pointer merge, so that pieces shrink by a share each round. Where what is made reaches boxes that
+    were out of reach, each such step takes a round. A round is written; it goes on with the pages
+    where boxes met, and ends where none did.
     """
     first = F.col("rect_no").cast("long") if "rect_no" in rects.columns else F.lit(None).cast("long")
     boxes = rects.select(*PAGE, *(F.col(s).cast("double").alias(s) for s in SIDES), F.col("items").cast("long"), first.alias("first")).where("x0 <= x1 and y0 <= y1")
     hull = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("items").alias("items"), F.min("first").alias("first")]
     square = F.struct(F.floor(F.col("x0") / gap).alias("x"), F.floor(F.col("y0") / gap).alias("y"))
+    done = None
     while True:
         boxes = kept(boxes.groupBy(*PAGE, square.alias("id")).agg(*hull), "boxes")
         pairs = touching(boxes, boxes.alias("other"), gap).where("a.id <> b.id")
         rank = lambda i: F.struct(F.xxhash64(i, *PAGE), i)
         near = pairs.select(*(F.col(f"a.{k}") for k in PAGE), F.col("a.id").alias("id"), F.col("b.id").alias("other"))
         to = kept(near.groupBy(*PAGE, "id").agg(F.min_by("other", rank(F.col("other"))).alias("to")), "pointers")
+        settled = kept(boxes.join(to.select(*PAGE).distinct(), PAGE, "left_anti").drop("id"), "settled")
+        done = settled if done is None else done.unionByName(settled)
         if to.isEmpty():
             break
+        boxes = boxes.join(to.select(*PAGE).distinct(), PAGE, "left_semi")
         to = to.withColumn("to", F.when(rank(F.col("to")) < rank(F.col("id")), F.col("to")).otherwise(F.col("id")))
         jump = to.select(*PAGE, F.col("id").alias("to"), F.col("to").alias("over"))
         root = to.join(jump, [*PAGE, "to"]).select(*PAGE, "id", F.col("over").alias("root"))
         boxes = boxes.join(root, [*PAGE, "id"], "left").groupBy(*PAGE, F.coalesce("root", "id").alias("root")).agg(*hull)
     order = Window.partitionBy(*PAGE).orderBy(*SIDES)
-    return boxes.select(*PAGE, (F.row_number().over(order) - 1).alias("cluster"), *SIDES, "items", "first")
+    return done.select(*PAGE, (F.row_number().over(order) - 1).alias("cluster"), *SIDES, "items", "first")
 
 
 def with_labels(clusters: DataFrame, lines: DataFrame, band: float = LABEL_BAND, along: tuple[str, str] = ("y0", "y1")) -> DataFrame:
