@@ -139,6 +139,24 @@ def test_clusters_of_shapes(spark, shape):
     assert figures.rect_clusters(df.limit(0)).collect() == []
 
 
+def test_pages_in_tasks_and_in_rounds(spark):
+    """Pages gathered in tasks, whole or cut by a batch, and pages taken in rounds have the same clusters; the former without a job a round."""
+    rng = random.Random(5)
+    sizes = {1: 1, 2: 40, 3: 700, 4: 5, 5: 130, None: 3}
+    rows = [(d, p, i, x := rng.uniform(0, 900), y := rng.uniform(0, 900), x + rng.uniform(0, 30), y + rng.uniform(0, 30), rng.choice([1, 2, None])) for d, n in sizes.items() for p in (0, 1) for i in range(n)]
+    df = spark.createDataFrame(rows, BOX)
+    told = lambda c: sorted(((r.doc_id, *map(str, r)) for r in c.collect() if r.doc_id is not None))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = told(figures.rect_clusters(df))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == told(figures.rect_clusters(df, gathered=0)) == told(figures.rect_clusters(df, gathered=100))
+    assert len(got) > 100
+    null = [r for r in figures.rect_clusters(df).collect() if r.doc_id is None]
+    assert len(null) == sum(len(plain_clusters([(*r[3:7], 1, r[2]) for r in rows if r[0] is None and r[1] == p])) for p in (0, 1))
+
+
 def test_boxes_meet_once(spark):
     rng = random.Random(4)
     a, b = ([(1, i % 2, i, x := rng.uniform(-200, 500), y := rng.uniform(0, 500), x + rng.choice([0, 3, 400]), y + rng.choice([0, 5, 300]), 1) for i in range(80)] for _ in range(2))
