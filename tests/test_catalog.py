@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from weftline.operators import catalog, deck, figures, geometry, matching
@@ -47,3 +49,24 @@ def test_visuals_that_get_a_slide(spark):
     got = [(r.title, r.type, r.subtitle, len(r.bullets)) for r in deck.promoted(df, deck.deserves_slide(F.col("type"), F.col("image")), caption).orderBy("slide_number").collect()]
     alone = {"t1": "cap", "t3": "sub", "t4": "sub"}
     assert got == [x for i, (k, _) in enumerate(rows, 1) for x in [(f"t{i}", k, "sub", 1), *([(f"t{i}", "image", alone[f"t{i}"], 0)] if f"t{i}" in alone else [])]]
+
+
+def test_edit_distance(spark):
+    rng = random.Random(7)
+    texts = ["", "a", "ab", "é𝄞z", "kitten", "sitting", *("".join(rng.choices("abcé ", k=rng.randrange(90))) for _ in range(40))]
+    pairs = [(a, b) for a in texts for b in texts]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.levenshtein("a", "b").alias("d")).collect()
+    assert [(r.a, r.b) for r in got if matching.edit_distance(r.a, r.b) != r.d] == []
+
+
+def test_earlier_duplicates_of_a_large_group(spark):
+    """A group of many blocks: places that repeat, copies, near copies, empty and null texts; compared in several tasks, a row for each answer."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh ", k=rng.randrange(30))) for _ in range(60)]
+    rows = [(1 + i % 2, rng.randrange(150), rng.choice([None, "", x := rng.choice(texts), x + "X", x[1:]])) for i in range(300)]
+    found = matching.earlier_duplicates(spark.createDataFrame(rows, "g long, o int, t string"), "g", "o", "t", 0.6)
+    similar = lambda a, b: max(0.0, 1 - matching.edit_distance(a.lower(), b.lower()) / max(len(a), len(b), 1)) > 0.6
+    want = {(g, o) for g, o, t in rows for h, p, u in rows if g == h and p < o and None not in (t, u) and similar(t, u)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    assert matching.BLOCK < 150

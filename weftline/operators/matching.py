@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,17 +71,63 @@ def adjacent_similarity(rows: DataFrame, group: str, order: str, text: str) -> D
     return rows.withColumn("before", F.lag(text).over(w)).where(F.col("before").isNotNull()).withColumn("similarity", maths.similarity(F.col(text), F.col("before")))
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Least number of inserted, deleted and replaced characters, a column of the table at a time as bits of whole numbers."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    whole, last, n = (1 << len(a)) - 1, len(a) - 1, len(a)
+    up, down = whole, 0  # where the column rises and falls by one
+    for c in b:
+        same = at.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right = down | (whole & ~(diagonal | up))
+        left = up & diagonal
+        n += (right >> last & 1) - (left >> last & 1)
+        right = right << 1 | 1
+        up = whole & (left << 1 | ~(diagonal | right))
+        down = whole & right & diagonal
+    return n
+
+
+#: Rows of a group that are compared with all earlier ones in one task.
+BLOCK = 32
+
+
 def earlier_duplicates(rows: DataFrame, group: str, order: str, text: str, least: float = 0.7) -> DataFrame:
     """(group, order): rows whose text is more similar than ``least`` to that of any earlier row of their group, not of the one before alone.
 
-    Lengths are compared first: texts that differ by more than 1 - least in length cannot be so similar.
+    Lengths are compared first: texts that differ by more than 1 - least in length cannot be so
+    similar. A row ends at the first such text, those of the nearest length first. Groups are cut
+    into blocks of BLOCK rows, each of which meets the rows before it in a task of its own.
     """
-    r = rows.select(group, order, F.lower(text).alias("t"))
-    a, b = r.alias("a"), r.alias("b")
-    n, m = F.length("a.t"), F.length("b.t")
-    near = F.least(n, m) > least * F.greatest(n, m) - 1
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"b.{order}") < F.col(f"a.{order}")) & near)
-    return pairs.where(maths.similarity(F.col("a.t"), F.col("b.t")) > least).select(F.col(f"a.{group}").alias(group), F.col(f"a.{order}").alias(order)).distinct()
+    by = Window.partitionBy(group)
+    r = rows.select(group, order, F.lower(text).alias("t")).where(" and ".join(f"`{c}` is not null" for c in (group, order, "t")))
+    r = r.withColumn("own", F.floor((F.row_number().over(by.orderBy(order)) - 1) / BLOCK)).withColumn("last", F.max("own").over(by))
+    blocks = r.withColumn("block", F.explode(F.sequence("own", "last"))).withColumn("asks", F.col("own") == F.col("block")).drop("own", "last")
+
+    def like(n: int, m: int, distance: int) -> bool:
+        return max(0.0, 1 - distance / max(n, m, 1)) > least
+
+    def of_block(block: pa.Table) -> pa.Table:
+        places, texts = block[order].to_pylist(), block["t"].to_pylist()
+        first: dict[str, object] = {}  # where each text stands first
+        for place, x in zip(places, texts, strict=True):
+            first[x] = min(place, first.get(x, place))
+        found = []
+        for i, asks in enumerate(block["asks"].to_pylist()):
+            n = len(texts[i])
+            near = [x for x, place in first.items() if asks and place < places[i] and like(n, len(x), abs(n - len(x)))]
+            found.append(any(like(n, len(x), 0 if x == texts[i] else edit_distance(texts[i], x)) for x in sorted(near, key=lambda x: (x != texts[i], abs(n - len(x))))))
+        return block.filter(pa.array(found)).select([group, order])
+
+    tasks = 8 * rows.sparkSession.sparkContext.defaultParallelism
+    out = blocks.select(group, order).schema
+    return blocks.repartition(tasks, group, "block").groupBy(group, "block").applyInArrow(of_block, out).distinct()
 
 
 def top_slides(affinities: DataFrame, k: Column | int) -> DataFrame:
