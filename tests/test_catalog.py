@@ -51,6 +51,16 @@ def test_visuals_that_get_a_slide(spark):
     assert got == [x for i, (k, _) in enumerate(rows, 1) for x in [(f"t{i}", k, "sub", 1), *([(f"t{i}", "image", alone[f"t{i}"], 0)] if f"t{i}" in alone else [])]]
 
 
+def test_many_figures_of_a_deck_are_not_paired_in_a_shuffle(spark):
+    """Pairs of figures and slides that share a word are scored where they meet; no exchange has both their words."""
+    s = spark.createDataFrame([(1, p, f"Part {p}", [f"common words of slide number{p}"]) for p in range(40)], "request_id long, pos int, title string, bullets array<string>")
+    f = spark.createDataFrame([(1, i, f"common words of slide number{i % 50}", "") for i in range(200)], "request_id long, figure_no int, caption string, section string")
+    found = matching.figure_matches(s, f)
+    assert sorted((r.pos, r.figure_no) for r in found.collect()) == [(p, p) for p in range(40)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(array_union" not in plan and "Deduplicate" not in plan and plan.count("Join") == 1
+
+
 def test_edit_distance(spark):
     rng = random.Random(7)
     texts = ["", "a", "ab", "é𝄞z", "kitten", "sitting", *("".join(rng.choices("abcé ", k=rng.randrange(90))) for _ in range(40))]

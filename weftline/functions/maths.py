@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftline.functions import lexicons as lex
+from weftline.functions.text import let
 
 
 def distribution(slide_count: Column, theory_percent: Column, image_percent: Column, words: Column) -> Column:
@@ -55,11 +56,14 @@ def candidate_score(rel: Column, width: Column, height: Column, ratio: Column) -
 
 
 def figure_score(figure: Column, slide: Column) -> Column:
-    """Coverage of the figure's tokens by the slide's, times the root of up to four shared ones; 0 below the thresholds."""
-    shared = F.size(F.array_intersect(figure, slide))
-    coverage = shared / F.size(figure)
-    ok = (F.size(figure) > 0) & (shared > 0) & (coverage >= 0.34) & ~((shared < 2) & (F.size(figure) > 2))
-    return F.when(ok, coverage * F.sqrt(F.least(shared, F.lit(4)).cast("double"))).otherwise(0.0)
+    """Coverage of the figure's distinct tokens by the slide's, times the root of up to four shared ones; 0 below the thresholds."""
+
+    def of(shared: Column) -> Column:
+        coverage = shared / F.size(figure)
+        ok = (F.size(figure) > 0) & (shared > 0) & (coverage >= 0.34) & ~((shared < 2) & (F.size(figure) > 2))
+        return F.when(ok, coverage * F.sqrt(F.least(shared, F.lit(4)).cast("double"))).otherwise(0.0)
+
+    return let(F.size(F.array_intersect(slide, figure)), of)
 
 
 def affinity(figure_key: Column, slide_key: Column) -> Column:

@@ -13,21 +13,20 @@ from weftline.functions import text as t
 def figure_matches(slides: DataFrame, figures: DataFrame) -> DataFrame:
     """(request_id, pos, figure_no, score): each slide's best figure, each figure used once.
 
-    slides: request_id, pos, title, bullets; figures: request_id, figure_no, caption, section. Pairs
-    meet through a shared word or a heading that one begins with, an equi-join in either case, so no
-    cross product is made; the score is coverage plus section bonus. A slide keeps its best figure
-    (the first of equals); a figure goes to the slide with the best score (the first of equals) and
-    the loser gets no second choice.
+    slides: request_id, pos, title, bullets; figures: request_id, figure_no, caption, section. A
+    deck's slides, which are few, meet each of its figures as one array, so only figures and slides
+    are shuffled, not their pairs; the score is coverage plus section bonus. A slide keeps its best
+    figure (the first of equals); a figure goes to the slide with the best score (the first of
+    equals) and the loser gets no second choice.
     """
     s = slides.select("request_id", "pos", t.heading_key(F.col("title")).alias("sk"), t.match_tokens(F.concat_ws(" ", "title", F.array_join(F.filter("bullets", lambda b: ~b.startswith("**")), " "))).alias("st"))
     f = figures.select("request_id", "figure_no", t.heading_key(F.col("section")).alias("fk"), t.match_tokens(F.concat_ws(" ", "caption", "section")).alias("ft"))
-    first = lambda k: F.split(k, " ")[0]
-    word = lambda df, tokens, key: df.withColumn("w", F.explode(F.array_union(tokens, F.array(F.concat(F.lit("#"), F.substring(first(key), 1, 1))))))
-    pairs = word(s, F.col("st"), F.col("sk")).join(word(f, F.col("ft"), F.col("fk")), ["request_id", "w"]).drop("w").dropDuplicates(["request_id", "pos", "figure_no"])
-    score = maths.figure_score(F.col("ft"), F.col("st")) + maths.affinity(F.col("fk"), F.col("sk"))
-    pairs = pairs.select("request_id", "pos", "figure_no", score.alias("score")).where("score > 0")
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("request_id", "pos").orderBy(F.desc("score"), "figure_no"))).where("r = 1").drop("r")
-    return best.withColumn("r", F.row_number().over(Window.partitionBy("request_id", "figure_no").orderBy(F.desc("score"), "pos"))).where("r = 1").drop("r")
+    decks = s.groupBy("request_id").agg(F.collect_list(F.struct("pos", "sk", "st")).alias("deck"))
+    score = lambda x: maths.figure_score(F.col("ft"), x["st"]) + maths.affinity(F.col("fk"), x["sk"])
+    found = F.filter(F.transform("deck", lambda x: F.struct(x["pos"].alias("pos"), score(x).alias("score"))), lambda x: x["score"] > 0)
+    pairs = f.join(decks, "request_id").select("request_id", "figure_no", F.explode(found).alias("x")).select("request_id", "x.pos", "figure_no", "x.score")
+    best = lambda rows, key, other: rows.groupBy("request_id", key).agg(F.min_by(F.struct(other, "score"), F.struct(-F.col("score"), F.col(other))).alias("m")).select("request_id", key, "m.*")
+    return best(best(pairs, "pos", "figure_no"), "figure_no", "pos").select("request_id", "pos", "figure_no", "score")
 
 
 def ranked_candidates(candidates: DataFrame, keep: int = 2) -> DataFrame:
