@@ -44,6 +44,13 @@ def test_colours_and_durations(spark):
     assert one(spark, t.duration_seconds(F.col("a")), a="1m30s") == 90 and one(spark, t.duration_seconds(F.col("a")), a="500ms") == 0.5
 
 
+def test_front_matter_reads_a_line_once(spark):
+    """The line is brought to its compared form once, not for each phrase."""
+    plan = spark.range(1).select(t.touches_front_matter(F.concat(F.col("id").cast("string"), F.lit(" Contents:"))).alias("f"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("(?U)\\s+") == 1
+    assert plan.first().f
+
+
 def test_figure_score_thresholds(spark):
     s = lambda f, g: one(spark, maths.figure_score(F.col("f"), F.col("g")), f=f, g=g)
     assert s(["a", "b", "c"], ["a"]) == 0 and s(["a", "b", "c"], ["a", "b"]) > 0.9 and s(["a"], ["b"]) == 0
