@@ -101,3 +101,15 @@ def test_every_line_is_a_figure(spark):
 
     got = registry.queries()["figure_matches"](spark, "/root/testdata/sf0.001")
     assert {r.rest for r in got.selectExpr("figure_no % 3 as rest").distinct().collect()} == {0, 1, 2}
+
+
+def test_planning_keeps_what_is_read_twice(spark):
+    """Rows that several later steps read are handed to ``keep``, each once; planned slides do not depend on it."""
+    from weftline.plans.inputs import kept
+
+    found = sections(spark)[1].withColumnRenamed("doc_id", "request_id")
+    asked = spark.createDataFrame([(1, 6, 3, "Beginner", "T", None, None, None), (2, 2, 1, "Beginner", "T", None, None, None)], ASK)
+    names = []
+    held = planner.plan(found, asked, lambda rows, name: names.append(name) or kept(rows, name))
+    assert names == ["pool", "chunks", "slides"]
+    assert sorted(map(str, held.collect())) == sorted(map(str, planner.plan(found, asked).collect()))

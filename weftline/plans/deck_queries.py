@@ -23,7 +23,7 @@ def _structured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 def _content(sections: DataFrame, asked: DataFrame) -> DataFrame:
-    return kept(deck.content_slides(kept(planner.plan(sections, asked), "plan"), asked), "content")
+    return kept(deck.content_slides(kept(planner.plan(sections, asked, kept), "plan"), asked), "content")
 
 
 def section_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,18 +33,18 @@ def section_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slot_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sections, asked = _structured(spark, sf_dir)
-    pool = planner.merged(planner.pools(planner.atoms(sections), asked))
+    pool = kept(planner.merged(planner.pools(planner.atoms(sections), asked)), "pool")
     return planner.allocated(pool).select("request_id", "kind", "no", "section", F.size("points").alias("n_points"), "slots")
 
 
 def planned_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sections, asked = _structured(spark, sf_dir)
-    return planner.plan(sections, asked).withColumn("bullets", F.array_join("bullets", "\n"))
+    return planner.plan(sections, asked, kept).withColumn("bullets", F.array_join("bullets", "\n"))
 
 
 def plan_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sections, asked = _structured(spark, sf_dir)
-    return planner.shortfall(planner.plan(sections, asked), asked)
+    return planner.shortfall(planner.plan(sections, asked, kept), asked)
 
 
 def outline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
