@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import lexicons as lex
-from weftline.functions.text import clean_inline, cut_both, cut_end, let, strip_decoration
+from weftline.functions.text import clean_inline, cut_both, cut_end, let, strip_decoration, undecorated
 
 #: The shapes of lines, in the order in which they are tried.
 FENCE = "^\\s{0,3}(?:`{3,}|~{3,})"
@@ -42,13 +42,16 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dealt
     document: what is computed for the lines is then spread evenly, however few splits the input
     has, and those windows find the lines where they need them.
     """
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n|\r| ", "\n")
-    split = docs.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("l"))
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.when(whole.contains("\r") | whole.contains("\u2028"), F.regexp_replace(whole, "\r\n|\r|\u2028", "\n")).otherwise(whole)
+    hint = whole.contains("```") | whole.contains("~~~")
+    split = docs.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("l"), hint.alias("hint"))
+    split = split.select("doc_id", "l", F.when(F.col("hint"), F.exists("l", lambda x: x.rlike(FENCE))).otherwise(False).alias("fenced"))
     marks = F.transform("l", lambda x: F.regexp_extract(x, "^\\s{0,3}(?:(`)`{2,}|(~)~{2,})", 1))
     tilde = F.transform("l", lambda x: F.regexp_extract(x, "^\\s{0,3}(?:(`)`{2,}|(~)~{2,})", 2))
-    fenced = F.exists("l", lambda x: x.rlike(FENCE))
-    none = F.transform("l", lambda x: F.lit(False))
-    inside = F.when(fenced, in_fence(F.zip_with(marks, tilde, lambda a, b: F.concat(a, b)))).otherwise(none)
+    # a Python function runs for every row, so texts without a fence hand it nothing
+    sent = F.when(F.col("fenced"), F.zip_with(marks, tilde, lambda a, b: F.concat(a, b)))
+    inside = F.when(F.col("fenced"), in_fence(sent)).otherwise(F.array_repeat(F.lit(False), F.size("l")))
     zipped = split.select("doc_id", F.arrays_zip(F.col("l").alias("raw"), inside.alias("inside")).alias("zipped"))
     if dealt:
         zipped = zipped.repartition("doc_id")
@@ -60,7 +63,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dealt
 def line_kind(raw: Column) -> Column:
     """blank, table, heading, quote, item, ordered, caption, marked or prose; the first shape that fits."""
     return (
-        F.when(F.trim(F.regexp_replace(raw, "(?U)\\s", "")) == "", "blank").when(raw.rlike(RULE), "blank").when(raw.rlike(TABLE), "table").when(raw.rlike(ATX), "heading").when(raw.rlike(QUOTE), "quote")
+        F.when(~raw.rlike("(?U)\\S"), "blank").when(raw.rlike(RULE), "blank").when(raw.rlike(TABLE), "table").when(raw.rlike(ATX), "heading").when(raw.rlike(QUOTE), "quote")
         .when(raw.rlike(ITEM), "item").when(raw.rlike(ORDERED), "ordered").when(raw.startswith("! "), "caption").when(raw.startswith("## "), "marked").otherwise("prose")
     )
 
@@ -72,7 +75,7 @@ def marked_line(raw: Column, kind: Column) -> Column:
         .when(kind == "item", F.regexp_replace(raw, ITEM, "")).when(kind == "ordered", F.regexp_replace(raw, ORDERED, "")).when(kind == "caption", F.substring(raw, 3, 1 << 30)).otherwise(raw)
     )
     mark = F.when(kind.isin("heading", "marked"), lex.HEADING_MARK).when(kind == "item", lex.BULLET_MARK).when(kind == "caption", lex.CAPTION_MARK).otherwise("")
-    bare = lambda b: F.trim(F.regexp_replace(F.when(kind == "caption", b).otherwise(strip_decoration(b)), "(?U)[^\\S\\n]+", " "))
+    bare = lambda b: F.when(kind == "caption", b).otherwise(undecorated(b))
     cut = lambda b: F.when(kind.isin("heading", "marked"), cut_both(b, " .:\\-#")).otherwise(b)
     some = lambda b: F.when(F.when(kind == "caption", b != "").otherwise(b.rlike("[A-Za-z0-9]")), F.concat(mark, b)).otherwise("")
     return let(clean_inline(body), lambda b: let(bare(b), lambda c: let(cut(c), some)))
@@ -120,20 +123,21 @@ def table_bullet(header: Column, row: Column) -> Column:
 def normalise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, line, kind): the marked lines of every text, none blank, numbered from 1.
 
-    Runs of table rows are islands of equal ``at - row_number``; a run's first row is its header.
+    A table row that follows no other opens a run and is the header of the rows after it. Lines of
+    tables and others pass the same windows, by document and place, so texts are read, cut and
+    sorted once.
     """
     rows = lines(docs, id_col, text_col, dealt=True).withColumn("kind", line_kind(F.col("raw")))
-    # a filter on the line would repeat all its expressions; exploding the array of it, or of nothing, computes it once
-    some = F.filter(F.array(marked_line(F.col("raw"), F.col("kind"))), lambda x: x != "")
-    texts = rows.where("kind not in ('blank', 'table')").select("doc_id", "at", F.explode(some).alias("line"), "kind")
-    by = Window.partitionBy("doc_id")
-    cells = rows.where("kind = 'table'").withColumn("run", F.col("at") - F.row_number().over(by.orderBy("at"))).withColumn("cells", _cells(F.col("raw")))
-    run = Window.partitionBy("doc_id", "run").orderBy("at")
-    cells = cells.withColumn("n", F.row_number().over(run)).withColumn("header", F.first("cells").over(run))
-    bullet = F.filter(F.array(F.concat(F.lit(lex.BULLET_MARK), table_bullet(F.col("header"), F.col("cells")))), lambda x: x.isNotNull())
-    bullets = cells.where(F.col("n") > 1).select("doc_id", "at", F.explode(bullet).alias("line"), F.lit("table").alias("kind"))
-    out = texts.unionByName(bullets)
-    return out.select("doc_id", F.row_number().over(by.orderBy("at")).alias("line_no"), "line", "kind")
+    by, table = Window.partitionBy("doc_id").orderBy("at"), F.col("kind") == "table"
+    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("cells", F.when(table, _cells(F.col("raw")))).withColumn("row_before", F.lag(F.when(table, F.col("at"))).over(by))
+    rows = rows.withColumn("opens", table & ~F.col("row_before").eqNullSafe(F.col("at") - 1))
+    rows = rows.withColumn("header", F.last(F.when(F.col("opens"), F.col("cells")), ignorenulls=True).over(so_far))
+    bullet = F.when(~F.col("opens"), F.concat(F.lit(lex.BULLET_MARK), table_bullet(F.col("header"), F.col("cells"))))
+    line = F.when(table, bullet).when(F.col("kind") != "blank", let(marked_line(F.col("raw"), F.col("kind")), lambda x: F.when(x != "", x)))
+    # the window stands between the line and the filter on it, so that its expressions are not computed for both
+    out = rows.select("doc_id", "at", line.alias("line"), "kind").withColumn("line_no", F.count("line").over(so_far).cast("int"))
+    return out.where(F.col("line").isNotNull()).select("doc_id", "line_no", "line", "kind")
 
 
 def normalised_text(marked: DataFrame) -> DataFrame:
