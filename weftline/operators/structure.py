@@ -28,11 +28,12 @@ def metadata(rows: DataFrame) -> DataFrame:
     line = t.unmarked(F.col("line"))
     named = F.trim(F.regexp_replace(F.regexp_extract(line, lex.AUTHOR, 1), "^:+|:+$", ""))
     alone = (
-        ~t.is_bullet(line) & (t.n_words(line) >= 1) & (t.n_words(line) <= 4) & (F.length(line) <= 40) & line.rlike("(?i)(?:,|prof|dr|mr|mrs|ms|ph\\.?d|md)\\b")
+        (F.length(line) <= 40) & ~t.is_bullet(line) & (t.n_words(line) >= 1) & (t.n_words(line) <= 4) & line.rlike("(?i)(?:,|prof|dr|mr|mrs|ms|ph\\.?d|md)\\b")
         & line.rlike("^[A-Za-z .'\\-]+(?:,?\\s+(?:PhD|MD|Prof|Dr|MSc|MA|BA|BSc))?$") & ~(line.rlike("\\p{Lu}") & ~line.rlike("\\p{Ll}"))
     )
     author = F.when(line.rlike(lex.AUTHOR), named).when(alone, t.cut_end(line, "."))
-    by = rows.withColumn("author", author).withColumn("date", F.when(line.rlike(lex.DATE), F.trim(F.regexp_extract(line, lex.DATE, 0))))
+    date = F.when(t.has_date(line), F.trim(F.regexp_extract(line, lex.DATE, 0)))
+    by = rows.select("doc_id", "line_no", author.alias("author"), date.alias("date"))
     first = F.min(F.when(F.col("author").isNotNull(), F.col("line_no"))).over(Window.partitionBy("doc_id"))
     by = by.withColumn("author_at", first)
     return by.groupBy("doc_id").agg(
@@ -96,7 +97,7 @@ def structure(marked: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = l
 
     ``keep`` may write rows that are read several times and give them back.
     """
-    rows = keep(classified(marked), "classified")
+    rows = keep(classified(marked).drop("following"), "classified")
     heads = keep(titled(rows), "heads")
     docs = heads.join(metadata(rows), "doc_id").select("doc_id", "title", "subtitle", "author", "date")
     return docs, sections(rows, heads)

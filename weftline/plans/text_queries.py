@@ -51,11 +51,11 @@ def normalised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure(kept(normalize.normalise(table(spark, sf_dir, "documents")), "lines"))[0]
+    return structure(normalize.normalise(table(spark, sf_dir, "documents")), kept)[0]
 
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = structure(kept(normalize.normalise(table(spark, sf_dir, "documents")), "lines"))[1]
+    s = structure(normalize.normalise(table(spark, sf_dir, "documents")), kept)[1]
     return s.select("doc_id", "section_no", "heading", "type", F.size("points").alias("n_points"), F.array_join("points", "\n").alias("points"))
 
 
