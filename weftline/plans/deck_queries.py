@@ -15,7 +15,7 @@ from weftline.plans.slot_queries import tokens_sql
 
 def _structured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    heads, sections = structure(kept(normalize.normalise(docs), "lines"), kept)
+    heads, sections = structure(normalize.normalise(docs), kept)
     sections = kept(sections, "sections")
     asked = requests(docs).join(heads.select("doc_id", "title", "subtitle", F.col("author").alias("author_name")), "doc_id", "left")
     asked = asked.withColumn("title", F.coalesce("title", F.lit("Presentation"))).withColumn("author_email", F.lit(None).cast("string")).withColumnRenamed("doc_id", "request_id")
@@ -27,7 +27,8 @@ def _content(sections: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def section_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sections, _ = _structured(spark, sf_dir)
+    """Needs no requests, so none are made."""
+    sections = structure(normalize.normalise(table(spark, sf_dir, "documents")), kept)[1].withColumnRenamed("doc_id", "request_id")
     return planner.atoms(sections).select("request_id", "atom_no", "section", "kind", F.size("points").alias("n_points"))
 
 
