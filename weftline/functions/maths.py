@@ -22,7 +22,7 @@ def distribution(slide_count: Column, theory_percent: Column, image_percent: Col
 
 def spread(total: Column, k: Column) -> Column:
     """k positions spread over 0..total-1, sorted and distinct; none for k of 0 or less."""
-    at = F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda i: F.least(total - 1, F.bround(i * (total / k), 0).cast("int")))
+    at = F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda i: F.least(total - 1, F.rint(i * (total / k)).cast("int")))
     return F.when(k > 0, F.array_sort(F.array_distinct(at))).otherwise(F.array().cast("array<int>"))
 
 

@@ -20,15 +20,16 @@ def _lookup(table: dict, key: Column) -> Column:
 def content_slides(planned: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, pos, title, subtitle, type, bullets, notes): refined slides; fillers only where no bullet is left."""
     r = planned.join(requests.select("request_id", "audience_level"), "request_id")
-    refined = F.filter(F.transform(F.filter("bullets", lambda b: F.trim(b) != ""), t.refine_bullet), lambda b: b.isNotNull())
+    # what is blank when trimmed is null when refined
+    refined = F.filter(F.transform("bullets", t.refine_bullet), lambda b: b.isNotNull())
     level = F.when(F.col("audience_level").isin(*lex.COVER_LINES), F.col("audience_level")).otherwise("Intermediate")
     key = F.concat_ws("|", "type", level)
     r = r.where(F.exists("bullets", lambda b: F.trim(b) != "")).withColumn("lines", refined)
     generic = F.when(F.col("audience_level").isin(*lex.COVER_LINES), _lookup(lex.SUBTITLES, key)).when(F.col("type") == "practical", "Practical Implementation").otherwise("Key Concepts")
-    title = t.clean_title(t.clean_title(F.col("title")))  # the cut to eight words may leave a mark at the end
+    r = r.withColumn("title", t.clean_title(t.clean_title(F.col("title"))))  # the cut to eight words may leave a mark at the end
     return r.select(
-        "request_id", "pos", title.alias("title"), F.coalesce(F.nullif(t.squeeze("subtitle"), F.lit("")), generic).alias("subtitle"), "type",
-        F.when(F.size("lines") > 0, F.col("lines")).otherwise(_lookup(lex.FILLERS, key)).alias("bullets"), speaker_notes(title).alias("notes"),
+        "request_id", "pos", "title", F.coalesce(t.some(t.squeeze("subtitle")), generic).alias("subtitle"), "type",
+        F.when(F.size("lines") > 0, F.col("lines")).otherwise(_lookup(lex.FILLERS, key)).alias("bullets"), speaker_notes(F.col("title")).alias("notes"),
     )
 
 
@@ -51,7 +52,7 @@ def outline(content: DataFrame, requests: DataFrame) -> DataFrame:
 
     A page that would end with an act marker hands it to the next page.
     """
-    rows = F.array_sort(F.collect_list(F.struct("pos", "title", "type")))
+    rows = F.sort_array(F.collect_list(F.struct("pos", "title", "type")))
     c = content.groupBy("request_id").agg(rows.alias("s"))
     r = requests.select("request_id", "title").join(c, "request_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<pos:int,title:string,type:string>>")))
     topic = lambda x, i: F.concat((i + 2).cast("string"), F.lit(". "), x["title"], F.when(x["type"] == "theory", " (Theory)").otherwise(" (Practice)"))
@@ -66,7 +67,7 @@ def outline(content: DataFrame, requests: DataFrame) -> DataFrame:
     marker = F.col("item").startswith("**") & F.col("item").endswith("**")
     last = (F.col("at") % lex.OUTLINE_ROWS == lex.OUTLINE_ROWS - 1) & F.lead("at").over(w).isNotNull()
     items = items.withColumn("page", (F.floor(F.col("at") / lex.OUTLINE_ROWS) + F.when(last & marker, 1).otherwise(0)).cast("int"))
-    pages = items.groupBy("request_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("bullets"))
+    pages = items.groupBy("request_id", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("bullets"))
     pages = pages.withColumn("pages", F.count("*").over(Window.partitionBy("request_id")).cast("int"))
     name = F.when(F.col("page") == 0, "Presentation Outline").otherwise(F.format_string("Presentation Outline (%d/%d)", F.col("page") + 1, "pages"))
     return pages.select("request_id", "page", "pages", name.alias("title"), "bullets")

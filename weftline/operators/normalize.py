@@ -61,9 +61,10 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dealt
 
 
 def line_kind(raw: Column) -> Column:
-    """blank, table, heading, quote, item, ordered, caption, marked or prose; the first shape that fits."""
+    """blank, table, heading, quote, item, ordered, caption, marked or prose; the first shape that fits. None but prose begins with a letter."""
+    letter = ((raw >= "A") & (raw < "[")) | ((raw >= "a") & (raw < "{"))
     return (
-        F.when(~raw.rlike("(?U)\\S"), "blank").when(raw.rlike(RULE), "blank").when(raw.rlike(TABLE), "table").when(raw.rlike(ATX), "heading").when(raw.rlike(QUOTE), "quote")
+        F.when(letter, "prose").when(~raw.rlike("(?U)\\S"), "blank").when(raw.rlike(RULE), "blank").when(raw.rlike(TABLE), "table").when(raw.rlike(ATX), "heading").when(raw.rlike(QUOTE), "quote")
         .when(raw.rlike(ITEM), "item").when(raw.rlike(ORDERED), "ordered").when(raw.startswith("! "), "caption").when(raw.startswith("## "), "marked").otherwise("prose")
     )
 

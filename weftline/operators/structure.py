@@ -77,10 +77,10 @@ def sections(rows: DataFrame, heads: DataFrame, drop_metadata: bool = True) -> D
     caption = t.squeeze(F.substring(line, len(lex.CAPTION_MARK) + 1, 1 << 30))
     points = (
         F.when(F.col("header") | F.col("told"), F.array().cast("array<string>")).when(t.is_caption(line), F.array(caption)).when(t.is_bullet(line), F.array(t.squeeze(F.regexp_replace(line, t.BULLET, ""))))
-        .when(rest.isNotNull() & ~F.col("header_alone"), F.array(t.squeeze(rest))).otherwise(t.pack(t.sentences(line)))
+        .when(rest.isNotNull() & ~F.col("header_alone"), F.array(t.squeeze(rest))).otherwise(t.packed_line(line))
     )
     body = body.withColumn("points", F.filter(points, lambda p: p != "")).withColumn("late", t.is_caption(line).cast("int"))
-    held = F.array_sort(F.collect_list(F.struct("late", "line_no", "points")))
+    held = F.sort_array(F.collect_list(F.struct("late", "line_no", "points")))
     grouped = body.groupBy("doc_id", "section_no").agg(F.first("title").alias("title"), F.max(F.when(F.col("header"), t.heading_text(line))).alias("own"), F.flatten(F.transform(held, lambda x: x["points"])).alias("points"))
     many = F.max("section_no").over(Window.partitionBy("doc_id"))
     grouped = grouped.withColumn("many", many)

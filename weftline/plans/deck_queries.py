@@ -23,7 +23,8 @@ def _structured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 def _content(sections: DataFrame, asked: DataFrame) -> DataFrame:
-    return kept(deck.content_slides(kept(planner.plan(sections, asked, kept), "plan"), asked), "content")
+    """Content slides without their notes, which no query here reads."""
+    return kept(deck.content_slides(planner.plan(sections, asked, kept), asked).drop("notes"), "content")
 
 
 def section_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
