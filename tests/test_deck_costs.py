@@ -1,12 +1,14 @@
 """What decks are made of is computed once and only where it is shown; the shorter ways give what the plain ones give."""
 
 import random
+import re
 
 import plain
 from pyspark.sql import functions as F
 
+from weftline.functions import lexicons as lex
 from weftline.functions import text as t
-from weftline.operators import planner
+from weftline.operators import deck, planner
 
 
 def optimized(df) -> str:
@@ -48,3 +50,22 @@ def test_positions_of_both_pools(spark):
                 want.append((pos, kind, left[kind].pop(0)))
         assert got[i] == want, (n, k, a, b)
     assert "aggregate(" not in optimized(out)
+
+
+def test_recaps_look_at_the_lines_they_show(spark):
+    """Of a deck of many titles five lines are refined, the others are counted; refining came first."""
+    rng, rows = random.Random(6), []
+    said = ["**bold**", " ", "Repeat the steps below", "some words here. and more of them", "Topic 1: the label goes", "x" * 200, "long words, and " * 20]
+    for deck_no in range(60):
+        rows += [(deck_no, p, rng.choice([f"Topic {p}", "Topic 1", f"Topic {p % 4} — Part {p}"]), rng.choices(said, k=rng.randrange(4))) for p in range(rng.randrange(1, 14))]
+    out = deck.recap(spark.createDataFrame(rows, "request_id long, pos int, title string, bullets array<string>"))
+    got = {r.request_id: r.bullets for r in out.collect()}
+    for deck_no in range(60):
+        want = {}
+        for _, _, title, bullets in (r for r in rows if r[0] == deck_no):
+            base = re.sub(t.PART_MARK, "", title).strip()
+            want.setdefault(base, f"**{base}:** {plain.recap_line(base, bullets)}")
+        lines = list(want.values())
+        assert got[deck_no] == (lines if len(lines) <= lex.RECAP_LINES else [*lines[: lex.RECAP_LINES - 1], f"... and {len(lines) - lex.RECAP_LINES + 1} more key points"]), deck_no
+    plan = optimized(out)
+    assert plan.index("•") < plan.index("Filter ((n#") and {len(b) for b in got.values()} >= {1, lex.RECAP_LINES}

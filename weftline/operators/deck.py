@@ -74,20 +74,26 @@ def outline(content: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def recap(content: DataFrame) -> DataFrame:
-    """(request_id, bullets): a line for each distinct title, of its first slide, RECAP_LINES at most."""
-    points = F.filter("bullets", lambda b: (F.trim(b) != "") & ~b.startswith("**"))
-    own = F.filter(F.reverse(points), lambda p: ~p.rlike(lex.GENERIC_TAKEAWAY))
-    pick = F.coalesce(F.get(own, F.lit(0)), F.get(F.reverse(points), F.lit(0)), F.lit("Key point covered in the session."))
-    c = content.select("request_id", "pos", t.base_heading(F.col("title")).alias("title"), F.coalesce(t.refine_bullet(pick), F.lit("Key information point.")).alias("line"))
+    """(request_id, bullets): a line for each distinct title, of its first slide, RECAP_LINES at most.
+
+    Only the slides whose lines are shown are looked at for one; the others are counted.
+    """
+    points = F.reverse(F.filter("bullets", lambda b: (F.trim(b) != "") & ~b.startswith("**")))
+    last, own = F.get("points", F.lit(0)), F.filter("points", lambda p: ~p.rlike(lex.GENERIC_TAKEAWAY))
+    pick = F.coalesce(F.when(~last.rlike(lex.GENERIC_TAKEAWAY), last), F.get(own, F.lit(0)), last, F.lit("Key point covered in the session."))
+    c = content.select("request_id", "pos", t.base_heading(F.col("title")).alias("title"), points.alias("points"))
+    c = c.select("request_id", "pos", "title", pick.alias("pick")).repartition("request_id")
+    by, first = Window.partitionBy("request_id"), Window.partitionBy("request_id", "title").orderBy("pos")
+    c = c.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("n", F.row_number().over(by.orderBy("pos"))).withColumn("all", F.count("*").over(by))
+    c = c.where((F.col("n") < lex.RECAP_LINES) | (F.col("n") == F.col("all")))
+    c = c.withColumn("line", F.coalesce(t.refine_bullet(F.col("pick")), F.lit("Key information point.")))
     label = F.regexp_extract("line", "^([^:]{3,60}):\\s+", 1)
     own_label = (label != "") & (F.lower(F.trim(label)) == F.lower(F.trim("title")))
     c = c.withColumn("line", F.when(own_label, F.regexp_replace("line", "^[^:]{3,60}:\\s+", "")).otherwise(F.col("line")))
-    first = Window.partitionBy("request_id", "title").orderBy("pos")
-    c = c.withColumn("n", F.row_number().over(first)).where("n = 1").select("request_id", "pos", F.concat(F.lit("**"), "title", F.lit(":** "), t.shorten_recap(F.col("line"))).alias("entry"))
-    g = c.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]).alias("e"))
-    more = F.concat(F.lit("... and "), (F.size("e") - lex.RECAP_LINES + 1).cast("string"), F.lit(" more key points"))
-    shown = F.when(F.size("e") > lex.RECAP_LINES, F.concat(F.slice("e", 1, lex.RECAP_LINES - 1), F.array(more))).otherwise(F.col("e"))
-    return g.select("request_id", shown.alias("bullets"))
+    more = F.concat(F.lit("... and "), (F.col("all") - lex.RECAP_LINES + 1).cast("string"), F.lit(" more key points"))
+    entry = F.concat(F.lit("**"), "title", F.lit(":** "), t.shorten_recap(F.col("line")))
+    c = c.select("request_id", "pos", F.when(F.col("n") > lex.RECAP_LINES, more).otherwise(entry).alias("entry"))
+    return c.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]).alias("bullets"))
 
 
 DECK = ["request_id", "title", "subtitle", "type", "bullets"]
