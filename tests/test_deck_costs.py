@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import lexicons as lex
 from weftline.functions import text as t
-from weftline.operators import deck, planner
+from weftline.operators import deck, matching, planner
 
 
 def optimized(df) -> str:
@@ -69,3 +69,20 @@ def test_recaps_look_at_the_lines_they_show(spark):
         assert got[deck_no] == (lines if len(lines) <= lex.RECAP_LINES else [*lines[: lex.RECAP_LINES - 1], f"... and {len(lines) - lex.RECAP_LINES + 1} more key points"]), deck_no
     plan = optimized(out)
     assert plan.index("•") < plan.index("Filter ((n#") and {len(b) for b in got.values()} >= {1, lex.RECAP_LINES}
+
+
+def test_words_of_figures_are_told_once(spark):
+    """Each pair of a figure and a slide built sets of their words."""
+    rng = random.Random(9)
+    words = ["loss", "train", "the", "steps", "Data", "K", "of-the", "x", "größe", "graph"]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    slides = [(d, p, rng.choice(["", "3. Results (a)", line(2)]), [line(6), "**b** " + line(3)]) for d in range(12) for p in range(8)]
+    figures = [(d, i, rng.choice([None, line(1), line(5)]), rng.choice([None, "", "Results", line(1)])) for d in range(1, 13) for i in range(20)]
+    out = matching.figure_matches(spark.createDataFrame(slides, "request_id long, pos int, title string, bullets array<string>"), spark.createDataFrame(figures, "request_id long, figure_no int, caption string, section string"))
+    assert "array_intersect" not in optimized(out) and out.schema.simpleString() == "struct<request_id:bigint,pos:int,figure_no:int,score:double>"
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.request_id, {})[r.pos] = (r.figure_no, r.score)
+    for d in range(13):
+        said = lambda *x: " ".join(filter(None, x))
+        assert got.get(d, {}) == plain.matched([s[1:] for s in slides if s[0] == d], [(f[1], said(f[2]), said(f[3])) for f in figures if f[0] == d] if 0 < d < 12 else []), d

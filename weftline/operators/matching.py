@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import lexicons as lex
 from weftline.functions import maths
 from weftline.functions import text as t
 
@@ -14,19 +20,59 @@ def figure_matches(slides: DataFrame, figures: DataFrame) -> DataFrame:
     """(request_id, pos, figure_no, score): each slide's best figure, each figure used once.
 
     slides: request_id, pos, title, bullets; figures: request_id, figure_no, caption, section. A
-    deck's slides, which are few, meet each of its figures as one array, so only figures and slides
-    are shuffled, not their pairs; the score is coverage plus section bonus. A slide keeps its best
-    figure (the first of equals); a figure goes to the slide with the best score (the first of
-    equals) and the loser gets no second choice.
+    deck's slides and its figures meet as two arrays in one row, so only they are shuffled, not
+    their pairs; the score is coverage plus section bonus. A slide keeps its best figure (the first
+    of equals); a figure goes to the slide with the best score (the first of equals) and the loser
+    gets no second choice.
     """
-    s = slides.select("request_id", "pos", t.heading_key(F.col("title")).alias("sk"), t.match_tokens(F.concat_ws(" ", "title", F.array_join(F.filter("bullets", lambda b: ~b.startswith("**")), " "))).alias("st"))
-    f = figures.select("request_id", "figure_no", t.heading_key(F.col("section")).alias("fk"), t.match_tokens(F.concat_ws(" ", "caption", "section")).alias("ft"))
-    decks = s.groupBy("request_id").agg(F.collect_list(F.struct("pos", "sk", "st")).alias("deck"))
-    score = lambda x: maths.figure_score(F.col("ft"), x["st"]) + maths.affinity(F.col("fk"), x["sk"])
-    found = F.filter(F.transform("deck", lambda x: F.struct(x["pos"].alias("pos"), score(x).alias("score"))), lambda x: x["score"] > 0)
-    pairs = f.join(decks, "request_id").select("request_id", "figure_no", F.explode(found).alias("x")).select("request_id", "x.pos", "figure_no", "x.score")
-    best = lambda rows, key, other: rows.groupBy("request_id", key).agg(F.min_by(F.struct(other, "score"), F.struct(-F.col("score"), F.col(other))).alias("m")).select("request_id", key, "m.*")
-    return best(best(pairs, "pos", "figure_no"), "figure_no", "pos").select("request_id", "pos", "figure_no", "score")
+    said = F.concat_ws(" ", "title", F.array_join(F.filter("bullets", lambda b: ~b.startswith("**")), " "))
+    s = slides.select("request_id", F.struct("pos", t.heading_key(F.col("title")).alias("key"), said.alias("text")).alias("x"))
+    f = figures.select("request_id", F.struct("figure_no", t.heading_key(F.col("section")).alias("key"), F.concat_ws(" ", "caption", "section").alias("text")).alias("x"))
+    of = lambda rows, name: rows.groupBy("request_id").agg(F.collect_list("x").alias(name))
+    out = slides.select("request_id", "pos").schema.add(figures.schema["figure_no"]).add("score", "double")
+    # words and scores of whole decks, as by ``text.match_tokens``, ``maths.figure_score`` and ``maths.affinity``
+    low = bytes(c | 32 if 65 <= c <= 90 else c if chr(c).isalnum() and c < 128 or c == 45 else 32 for c in range(256))
+    stop, roots = {w.encode() for w in lex.MATCH_STOPWORDS}, [math.sqrt(n) for n in range(5)]
+
+    def tokens(x: str) -> set[bytes]:
+        """A run of letters, digits and hyphens from its first letter on is a word, if it has three characters."""
+        return {w for run in set(x.encode().translate(low).split()) if len(w := run.lstrip(b"-0123456789")) > 2} - stop
+
+    def score(shared: int, of: int, fk: str, sk: str) -> float:
+        found = shared / of * roots[min(shared, 4)] if shared and shared / of >= 0.34 and (shared >= 2 or of <= 2) else 0.0
+        return found + (0.0 if not fk or not sk else 2.0 if fk == sk else 1.6 if sk.startswith(fk) or fk.startswith(sk) else 0.0)
+
+    def of_deck(slides: list[tuple], figures: list[tuple]) -> list[tuple]:
+        """(pos, figure_no, score)"""
+        own = [(no, fk, ft, len(ft)) for no, fk, ft in ((no, fk, tokens(x)) for no, fk, x in figures)]
+        best: dict[object, tuple] = {}
+        for pos, sk, x in slides:
+            st, top = tokens(x), (0.0, None)
+            for no, fk, ft, of in own:
+                shared = len(ft & st)
+                if shared or fk:
+                    less = -score(shared, of, fk, sk)
+                    if less < top[0] or (less == top[0] < 0 and no < top[1]):
+                        top = less, no
+            if top[0] < 0:
+                best[top[1]] = min((top[0], pos), best.get(top[1], (0.0, pos)))
+        return [(pos, no, -less) for no, (less, pos) in best.items()]
+
+    def runs(lists: pa.ListArray) -> Iterator[list[tuple]]:
+        rows = list(zip(*(x.to_pylist() for x in lists.flatten().flatten()), strict=True))
+        ends = list(accumulate(pc.list_value_length(lists).to_pylist(), initial=0))
+        return (rows[lo:hi] for lo, hi in pairwise(ends))
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of_deck(slides, figures) for slides, figures in zip(runs(batch["slides"]), runs(batch["figures"]), strict=True)]
+            deck = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int32())
+            columns = list(zip(*chain.from_iterable(found), strict=True)) or [(), (), ()]
+            kinds = (batch["slides"].type.value_type.field("pos").type, batch["figures"].type.value_type.field("figure_no").type, pa.float64())
+            numbers = [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["request_id"].take(deck), *numbers], ["request_id", "pos", "figure_no", "score"])
+
+    return of(f, "figures").join(of(s, "slides"), "request_id").select("request_id", "slides", "figures").mapInArrow(matched, out)
 
 
 def ranked_candidates(candidates: DataFrame, keep: int = 2) -> DataFrame:

@@ -86,7 +86,7 @@ def figure_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, sections, asked = _structured(spark, sf_dir)
     content = _content(sections, asked)
     lines = docs.select(F.col("doc_id").alias("request_id"), F.posexplode(F.split("text", "\n")).alias("figure_no", "caption")).where("caption <> ''")
-    figures = lines.withColumn("section", F.array_join(F.slice(F.split("caption", " "), 1, 3), " "))
+    figures = lines.withColumn("section", F.substring_index("caption", " ", 3))
     return matching.figure_matches(content, figures).withColumn("score", F.round("score", 9))
 
 
