@@ -1,5 +1,6 @@
 """What decks are made of is computed once and only where it is shown; the shorter ways give what the plain ones give."""
 
+import math
 import random
 import re
 
@@ -7,6 +8,7 @@ import plain
 from pyspark.sql import functions as F
 
 from weftline.functions import lexicons as lex
+from weftline.functions import maths
 from weftline.functions import text as t
 from weftline.operators import deck, matching, planner
 
@@ -86,3 +88,26 @@ def test_words_of_figures_are_told_once(spark):
     for d in range(13):
         said = lambda *x: " ".join(filter(None, x))
         assert got.get(d, {}) == plain.matched([s[1:] for s in slides if s[0] == d], [(f[1], said(f[2]), said(f[3])) for f in figures if f[0] == d] if 0 < d < 12 else []), d
+
+
+def plain_size(bullets, width, height, base, least):
+    size = base
+    while size >= least:
+        room = lambda em: max(int(width * 72 / (0.55 * em)), 8)
+        n = sum(max(1, math.ceil(len(b) / room(size + 3 if b.startswith("**") else size))) for b in bullets if b)
+        if (n * size * 1.22 + max(3.0, size * 0.45) * max(n - 1, 0)) / 72 <= height * 0.94:
+            return size
+        size -= 0.5
+    return least
+
+
+def test_lines_are_measured_once(spark):
+    """Every size measured every line three times."""
+    rng = random.Random(4)
+    rows = [([rng.choice(["", "**", "é"]) + "x" * rng.choice([0, 5, 80, 400, 2000]) for _ in range(rng.randrange(9))],) for _ in range(300)]
+    df = spark.createDataFrame(rows, "b array<string>")
+    for box in ((9.0, 4.5, 20.0, 9.0), (3.0, 1.0, 12.0, 10.0)):
+        out = df.select("b", maths.fitted_size(F.col("b"), *box).alias("size"))
+        assert [r.size for r in out.collect()] == [plain_size(r.b, *box) for r in out.collect()]
+        assert optimized(out).count("length(") == 1
+    assert len({plain_size(b, 9.0, 4.5, 20.0, 9.0) for (b,) in rows}) > 5

@@ -83,19 +83,30 @@ def back_off(delay: Column, attempt: Column) -> Column:
 
 
 def fitted_size(bullets: Column, width: float, height: float, base: float, least: float) -> Column:
-    """The largest font size, by half points from base down to least, at which the lines fit the box."""
-    steps = F.transform(F.sequence(F.lit(0), F.lit(int((base - least) * 2))), lambda i: F.lit(base) - i / 2)
-
-    def rows(size: Column) -> Column:
-        room = lambda em: F.greatest((F.lit(width * 72) / (0.55 * em)).cast("int"), F.lit(8))
-        each = lambda b: F.greatest(F.lit(1).cast("long"), F.ceil(F.length(b) / F.when(b.startswith("**"), room(size + 3)).otherwise(room(size))))
-        return F.aggregate(F.filter(bullets, lambda b: b != ""), F.lit(0).cast("long"), lambda a, b: a + each(b))
-
-    def fits(size: Column) -> Column:
-        n = rows(size)
-        return (n * size * 1.22 + F.greatest(F.lit(3.0), size * 0.45) * F.greatest(n - 1, F.lit(0))) / 72 <= height * 0.94
-
-    return F.coalesce(F.get(F.filter(steps, fits), F.lit(0)), F.lit(float(least)))
+    """The largest font size, by half points from base down to least, at which the lines fit the box.
+
+    What a size holds does not depend on the lines: characters a row, and rows. Lines are measured
+    once, and a size is tried only where no larger one fits.
+    """
+    room = lambda em: float(max(int(width * 72 / (0.55 * em)), 8))
+    tall = lambda n, size: (n * size * 1.22 + max(3.0, size * 0.45) * max(n - 1, 0)) / 72
+
+    def holds(size: float) -> int:
+        n = -1
+        while tall(n + 1, size) <= height * 0.94:
+            n += 1
+        return n
+
+    sizes = [base - i / 2 for i in range(int((base - least) * 2) + 1)]
+    known = F.array(*(F.struct(F.lit(float(s)).alias("size"), F.lit(room(s)).alias("plain"), F.lit(room(s + 3)).alias("bold"), F.lit(holds(s)).alias("most")) for s in sizes))
+
+    def first(lines: Column) -> Column:
+        each = lambda s: lambda a, b: a + F.greatest(F.lit(1).cast("long"), F.ceil(b["n"] / F.when(b["bold"], s["bold"]).otherwise(s["plain"])))
+        fits = lambda s: F.aggregate(lines, F.lit(0).cast("long"), each(s)) <= s["most"]
+        return F.aggregate(known, F.lit(None).cast("double"), lambda a, s: F.when(a.isNotNull(), a).when(fits(s), s["size"]))
+
+    measured = F.transform(F.filter(bullets, lambda b: b != ""), lambda b: F.struct(F.length(b).alias("n"), b.startswith("**").alias("bold")))
+    return F.coalesce(let(measured, first), F.lit(float(least)))
 
 
 def cover_crop(width: Column, height: Column, ratio: Column) -> Column:
